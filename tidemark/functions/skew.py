@@ -1,0 +1,73 @@
+"""Joins of a long row table with a one-row-per-key table, safe for hot keys."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, functions as F
+
+# Below this planned size all rows together fit one task, whatever the keys.
+GUARD_BYTES = 1 << 30
+# A key with more rows than this is joined on the map side.  At most
+# (rows / HOT_ROWS) keys can be hot, which bounds what is broadcast.
+HOT_ROWS = 5_000_000
+
+
+def planned_bytes(df: DataFrame) -> int:
+    """Optimizer's size estimate, the one Catalyst itself broadcasts by."""
+    return int(_plan(df).stats().sizeInBytes().toString())
+
+
+def scanned_bytes(df: DataFrame) -> int:
+    """Size of all sources below ``df``.
+
+    Row tables are scans, at most widened by one-row-per-key lookups, and the
+    estimate for a join is a product; the sum of the sources is nearer.
+    """
+    leaves = _plan(df).collectLeaves()
+    sizes = [leaves.apply(i).stats().sizeInBytes().toString() for i in range(leaves.size())]
+    return sum(int(size) for size in sizes)
+
+
+def _plan(df: DataFrame):
+    return df._jdf.queryExecution().optimizedPlan()
+
+
+def hot_keys(rows: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Keys owning more than ``hot_rows`` rows; counted with map-side partials."""
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    return counts.where(F.col("_n") > hot_rows).dropna(subset=list(keys)).select(*keys)
+
+
+def join_rows(
+    rows: DataFrame,
+    lookup: DataFrame,
+    keys: Sequence[str],
+    *,
+    guard_bytes: int = GUARD_BYTES,
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """Inner equi-join of ``rows`` (many per key) with ``lookup`` (one per key).
+
+    Small inputs and small lookups are left to Catalyst, which broadcasts by
+    size.  Otherwise one key may own a large share of ``rows`` and would land
+    in a single shuffle partition, so hot keys take a second route: their
+    lookup rows are broadcast and their rows are never shuffled.  Both routes
+    together return every match exactly once.  When no key is hot, adaptive
+    execution drops the second route.
+    """
+    keys = list(keys)
+    limit = rows.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
+    if scanned_bytes(rows) <= guard_bytes or planned_bytes(lookup) <= _as_bytes(limit):
+        return rows.join(lookup, keys)
+    hot = hot_keys(rows, keys, hot_rows)
+    cold = rows.join(F.broadcast(hot), keys, "left_anti").join(lookup, keys)
+    warm = rows.join(F.broadcast(lookup.join(F.broadcast(hot), keys, "left_semi")), keys)
+    return cold.unionByName(warm)
+
+
+def _as_bytes(size: str) -> int:
+    """Spark size text such as ``10485760``, ``64m`` or ``10485760b``."""
+    text = size.strip().lower().rstrip("b")
+    units = {"k": 10, "m": 20, "g": 30, "t": 40}
+    return int(text[:-1]) << units[text[-1]] if text[-1] in units else int(text)

@@ -1,0 +1,6 @@
+"""Deliberately empty: every operator of this engine works on finished tables.
+
+The work rebuilt here has no streams, watermarks or stateful operators, so no
+streaming surface is offered.  The column rules in ``tidemark.functions`` are
+ordinary Catalyst expressions and may be used on a streaming DataFrame as well.
+"""
