@@ -15,7 +15,7 @@ HOT_ROWS = 5_000_000
 
 def planned_bytes(df: DataFrame) -> int:
     """Optimizer's size estimate, the one Catalyst itself broadcasts by."""
-    return int(_plan(df).stats().sizeInBytes().toString())
+    return int(str(_plan(df).stats().sizeInBytes()))
 
 
 def scanned_bytes(df: DataFrame) -> int:
@@ -25,8 +25,7 @@ def scanned_bytes(df: DataFrame) -> int:
     estimate for a join is a product; the sum of the sources is nearer.
     """
     leaves = _plan(df).collectLeaves()
-    sizes = [leaves.apply(i).stats().sizeInBytes().toString() for i in range(leaves.size())]
-    return sum(int(size) for size in sizes)
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
 def _plan(df: DataFrame):

@@ -78,8 +78,7 @@ def medication_flags(
     if dictionary is None:
         flagged = inside.select(entity, *flags)
     else:
-        pairs = inside.select(entity, "itemid").distinct()
-        flagged = join_rows(pairs, dictionary.select("itemid", *flags), ["itemid"])
+        flagged = join_rows(inside.select(entity, "itemid"), dictionary.select("itemid", *flags), ["itemid"])
     return _max_flags(flagged, entity, [r.name for r in rules_])
 
 
@@ -122,6 +121,5 @@ def procedure_flags(
 ) -> DataFrame:
     """Text flags of procedure labels in the window, one row per entity."""
     inside = procedure_events(entities, stays, procedures, entity, anchor, window, **options)
-    pairs = inside.select(entity, "itemid").distinct()
-    flagged = join_rows(pairs, label_flags(items, rules_), ["itemid"])
+    flagged = join_rows(inside.select(entity, "itemid"), label_flags(items, rules_), ["itemid"])
     return _max_flags(flagged, entity, [r.name for r in rules_])

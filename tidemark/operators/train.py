@@ -223,6 +223,12 @@ def coefficients(model: FittedModel, spark: SparkSession) -> DataFrame:
     ).orderBy(F.desc("abs_coef"), "feature")
 
 
+def linear_probability(df: DataFrame, weights: Mapping[str, float], bias: float) -> DataFrame:
+    """Probability of class 1 from known coefficients, as one expression."""
+    total = sum((F.col(c) * w for c, w in weights.items()), F.lit(bias))
+    return df.withColumn(PREDICTION, 1.0 / (1.0 + F.exp(-total)))
+
+
 def intercept(model: FittedModel) -> float:
     return float(model.classifier.intercept)
 

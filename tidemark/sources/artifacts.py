@@ -37,7 +37,7 @@ def read_predictions(
 
 def write_report(report: DataFrame, path: str, source: str = "json") -> None:
     """A small summary table as one file; its rows are few by construction."""
-    writer = report.coalesce(1).write.mode("overwrite").format(source)
+    writer = report.repartition(1).write.mode("overwrite").format(source)
     (writer.option("header", True) if source == "csv" else writer).save(path)
 
 
