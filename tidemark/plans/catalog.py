@@ -32,6 +32,7 @@ SCORE, LABEL, KEY = "y_pred_proba", "y", "hadm_id"
 GRADE = 0.25
 NUMBERS = ["age_at_admit", "charlson_min", *[f"item{i}_first" for i in range(1, 8)]]
 FLAGS = [f"item{i}_missing" for i in range(1, 8)]
+MAY_BE_NULL = {"charlson_min", "strict", "raw_version", *o.MEDS, *o.PROCS, *o.CHRONIC}
 
 
 def query(name: str, body: str | None = None):
@@ -47,9 +48,10 @@ def query(name: str, body: str | None = None):
 
 
 def plain(df: DataFrame) -> DataFrame:
-    """Decimals as doubles."""
-    decimals = {c: F.col(c).cast("double") for c, kind in df.dtypes if kind.startswith("decimal")}
-    return df.withColumns(decimals) if decimals else df
+    """Decimals and whole numbers that left joins make null become doubles,
+    the one type that every engine's data frames show alike."""
+    kinds = {c: kind for c, kind in df.dtypes if kind.startswith("decimal") or c in MAY_BE_NULL}
+    return df.withColumns({c: F.col(c).cast("double") for c in kinds}) if kinds else df
 
 
 def rounded(df: DataFrame, columns: Sequence[str], digits: int = 6) -> DataFrame:
@@ -219,7 +221,7 @@ def missing_flags(plan):
 
 @query(
     "code_version",
-    "SELECT v AS raw_version, CASE WHEN v = 9 THEN 9 WHEN v = 10 THEN 10 END AS strict, CASE WHEN v = 9 THEN 9 ELSE 10 END AS loose, "
+    "SELECT CAST(v AS DOUBLE) AS raw_version, CAST(CASE WHEN v = 9 THEN 9 WHEN v = 10 THEN 10 END AS DOUBLE) AS strict, CASE WHEN v = 9 THEN 9 ELSE 10 END AS loose, "
     "count(*) AS n FROM (SELECT CASE WHEN l_linenumber < 7 THEN l_linenumber + 5 END AS v FROM lineitem) q GROUP BY 1, 2, 3",
 )
 def code_version(plan):
@@ -234,7 +236,7 @@ def code_version(plan):
     return systems.groupBy("raw_version", "strict", "loose").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("code_prefix_match", f"SELECT icd_version, icd_code, {o.code_flag('copd', True)} AS copd, {o.code_flag('cad', False)} AS cad FROM dx")
+@query("code_prefix_match", f"SELECT icd_version, icd_code, CAST({o.code_flag('copd', True)} AS DOUBLE) AS copd, CAST({o.code_flag('cad', False)} AS DOUBLE) AS cad FROM dx")
 def code_prefix_match(plan):
     named = {rule.name: rule for rule in STAR.chronic}
     return plan.tables["diagnoses"].select(
@@ -258,7 +260,7 @@ def code_range_match(plan):
 @query(
     "text_group_flags_predicate",
     "SELECT p_partkey AS itemid, "
-    + o.comma(f"CAST(regexp_matches(lower(p_name), '({p})') AS INT) AS {n}" for n, p in o.PROCS.items())
+    + o.comma(f"CAST(regexp_matches(lower(p_name), '({p})') AS DOUBLE) AS {n}" for n, p in o.PROCS.items())
     + " FROM part",
 )
 def text_group_flags_predicate(plan):
@@ -445,14 +447,14 @@ def weighted_score(plan):
 
 @query(
     "chronic_groups",
-    "SELECT hadm_id, "
-    + o.comma(f"max({o.code_flag(n, False)}) AS {n}" for n in o.CHRONIC)
+    "SELECT CAST(hadm_id AS DOUBLE) AS hadm_id, "
+    + o.comma(f"CAST(max({o.code_flag(n, False)}) AS DOUBLE) AS {n}" for n in o.CHRONIC)
     + " FROM (SELECT CASE WHEN hadm_id % 10 <> 3 THEN hadm_id END AS hadm_id, icd_version, icd_code FROM dx) q GROUP BY hadm_id",
 )
 def chronic_groups(plan):
     # some codes lose their entity: they form one group of their own
     loose = plan.tables["diagnoses"].withColumn(KEY, F.when(F.col(KEY) % 10 != 3, F.col(KEY)))
-    return flags.chronic_groups(loose, KEY, STAR.chronic)
+    return flags.chronic_groups(loose, KEY, STAR.chronic).withColumn(KEY, F.col(KEY).cast("double"))
 
 
 @query("med_group_flags", "SELECT * FROM meds")
@@ -863,9 +865,6 @@ def standardize(plan):
     return rounded(prep.fit_scales(prep.impute(train_split, medians), NUMBERS), ["mean", "scale"])
 
 
-LANGS = ("de", "en", "fr")
-
-
 @query(
     "one_hot",
     "SELECT feature, value, n FROM (SELECT 'lang' AS feature, lang AS value, count(*) AS n FROM docs WHERE lang IN (SELECT lang FROM docs WHERE toxic = 0) GROUP BY lang "

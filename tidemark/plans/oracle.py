@@ -113,17 +113,17 @@ BLOCKS = {
     "labfirst": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY hadm_id, itemid ORDER BY charttime, valuenum) AS rn FROM labwin) q WHERE rn = 1",
     "labs_core": f"SELECT hadm_id, {_firsts(range(1, 5))} FROM labfirst WHERE itemid <= 4 GROUP BY hadm_id",
     "labs_ext": f"SELECT hadm_id, {_firsts(ITEMS)} FROM labfirst GROUP BY hadm_id",
-    "comorb": "SELECT *, chf + renal * 2 + dm AS charlson_min FROM (SELECT hadm_id, "
+    "comorb": "SELECT *, CAST(chf + renal * 2 + dm AS DOUBLE) AS charlson_min FROM (SELECT hadm_id, "
     + comma(f"max({code_flag(n, True)}) AS {n}" for n in COMORBIDITY)
     + " FROM dx WHERE hadm_id IS NOT NULL GROUP BY hadm_id) q",
-    "chronic": "SELECT hadm_id, " + comma(f"max({code_flag(n, False)}) AS {n}" for n in CHRONIC) + " FROM dx GROUP BY hadm_id",
+    "chronic": "SELECT hadm_id, " + comma(f"CAST(max({code_flag(n, False)}) AS DOUBLE) AS {n}" for n in CHRONIC) + " FROM dx GROUP BY hadm_id",
     "rxwin": "SELECT r.* FROM adm a JOIN rx r ON r.hadm_id = a.hadm_id AND r.starttime >= a.admittime AND r.starttime < a.admittime + INTERVAL 365 DAY",
     "meds": "SELECT hadm_id, "
-    + comma(f"max(CAST(regexp_matches(lower(coalesce(drug, '')), '({p})') AS INT)) AS {n}" for n, p in MEDS.items())
+    + comma(f"max(CAST(regexp_matches(lower(coalesce(drug, '')), '({p})') AS DOUBLE)) AS {n}" for n, p in MEDS.items())
     + " FROM rxwin GROUP BY hadm_id",
     "procwin": "SELECT a.hadm_id, s.stay_id, p.starttime, p.itemid, d.label FROM adm a JOIN stay s ON s.hadm_id = a.hadm_id JOIN procev p ON p.stay_id = s.stay_id JOIN d_items d ON d.itemid = p.itemid WHERE p.starttime >= a.admittime AND p.starttime < a.admittime + INTERVAL 365 DAY",
     "procs": "SELECT hadm_id, "
-    + comma(f"max(CAST(regexp_matches(lower(label), '({p})') AS INT)) AS {n}" for n, p in PROCS.items())
+    + comma(f"max(CAST(regexp_matches(lower(label), '({p})') AS DOUBLE)) AS {n}" for n, p in PROCS.items())
     + " FROM procwin GROUP BY hadm_id",
     "vitwin": "SELECT c.* FROM base b JOIN chart_li c ON c.hadm_id = b.hadm_id AND c.subject_id = b.subject_id WHERE c.charttime >= b.admittime AND c.charttime < b.admittime + INTERVAL 365 DAY",
     "vitclean": _cleaned("vitwin", LINE_NAMES),
