@@ -64,22 +64,27 @@ def canonical_item(item: str, items: Mapping[object, str]) -> Column:
     return reduce(lambda column, pair: column.when(*pair), rest, F.when(*first))
 
 
-def harmonized_name(raw_name: str, vitals: Vitals) -> Column:
-    """Both temperature scales share one name; other names stay."""
-    column = F.col(raw_name)
-    return F.when(column.isin(vitals.celsius, vitals.fahrenheit), vitals.temperature).otherwise(column)
-
-
-def harmonized_value(raw_name: str, value: str, vitals: Vitals) -> Column:
+def harmonized_value(item: str, value: str, vitals: Vitals) -> Column:
     """Fahrenheit values become Celsius; other values stay."""
-    fahrenheit = (F.col(value) - 32.0) * 5.0 / 9.0
-    return F.when(F.col(raw_name) == vitals.fahrenheit, fahrenheit).otherwise(F.col(value))
-
-
-def plausible(name: str, value: str, bounds: Mapping[str, tuple[float, float]]) -> Column:
-    """Value lies inside the closed range of its item."""
+    fahrenheit = vitals.ids(vitals.fahrenheit)
+    if not fahrenheit:
+        return F.col(value)
+    celsius = (F.col(value) - 32.0) * 5.0 / 9.0
+    return F.when(F.col(item).isin(fahrenheit), celsius).otherwise(F.col(value))
+
+
+def plausible(item: str, value: str, vitals: Vitals) -> Column:
+    """Harmonized value lies inside the closed range of its item.
+
+    Stated per raw id, so that rows are dropped by cheap comparisons before
+    names are built.
+    """
+    harmonized = harmonized_value(item, value, vitals)
+    groups: dict[str, list[object]] = {}
+    for raw, name in vitals.merged.items():
+        groups.setdefault(name, []).append(raw)
     return any_of(
-        [(F.col(name) == item) & F.col(value).between(low, high) for item, (low, high) in bounds.items()]
+        [F.col(item).isin(ids) & harmonized.between(*vitals.bounds[name]) for name, ids in groups.items()]
     )
 
 

@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-BUCKETS = 256
+BUCKETS = 256  # a power of two
 ACCURACY = 10_000
 
 
@@ -20,8 +20,25 @@ def _cut_points(column: Column, buckets: int) -> Column:
     return F.percentile_approx(column, [i / buckets for i in range(1, buckets)], ACCURACY)
 
 
-def _below(cuts: str, value: str) -> Column:
-    return F.size(F.filter(cuts, lambda cut: cut < F.col(value)))
+def _place(df: DataFrame, value: str, cuts: Column, bucket: str, buckets: int) -> DataFrame:
+    """Add the number of cut points below ``value`` (0 for null).
+
+    A binary search unrolled into one small projection per halving, so that it
+    stays in generated code.  The result is never null: a nullable join key
+    would be tested before the counting aggregate, once per input row.
+    """
+    placed = df.withColumn(bucket, F.lit(0))
+    step = buckets // 2
+    while step:
+        above = F.get(cuts, F.col(bucket) + (step - 1)) < F.col(value)
+        placed = placed.withColumn(bucket, F.col(bucket) + F.when(above, step).otherwise(0))
+        step //= 2
+    return placed
+
+
+def value_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+    """``n`` rows per (group, value), null values included."""
+    return df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
 
 
 def prefix_sums(
@@ -31,23 +48,30 @@ def prefix_sums(
     by: Sequence[str] = (),
     descending: bool = False,
     buckets: int = BUCKETS,
+    bounded_groups: bool = False,
 ) -> DataFrame:
     """Add ``cum_<s>``, ``total_<s>`` for each of ``sums``, and ``next_value``.
 
-    ``df`` holds one row per (by, value) with non-null ``value`` and ``by``.
-    Sums run in the order of ``value`` inside each group and include the row
-    itself; ``next_value`` is the following value in that order.
+    ``df`` holds one row per (by, value) with non-null ``by``.  Sums run in the
+    order of ``value`` inside each group and include the row itself;
+    ``next_value`` is the following value in that order.  ``bounded_groups``
+    states that the number of groups is set by the caller and not by the data
+    (columns, splits); the small tables per group are then broadcast.
     """
     by = list(by)
+
+    def small(table: DataFrame) -> DataFrame:
+        return F.broadcast(table) if bounded_groups or not by else table
+
     # The condition is always true.  It makes this branch read the same
     # columns as the others, so that Spark runs the aggregate behind `df` once.
     present = sum((F.col(s) for s in sums), F.lit(0)) >= 0
     cut = _cut_points(F.when(present, F.col(value)), buckets)
     if by:
-        placed = df.join(df.groupBy(*by).agg(cut.alias("_cuts")), by)
+        placed = df.join(small(df.groupBy(*by).agg(cut.alias("_cuts"))), by)
     else:
         placed = df.withColumn("_cuts", df.agg(cut.alias("_cuts")).scalar())
-    placed = placed.withColumn("_bucket", _below("_cuts", value)).drop("_cuts")
+    placed = _place(placed, value, F.col("_cuts"), "_bucket", buckets).drop("_cuts")
 
     def ordered(column: str) -> Column:
         return F.desc(column) if descending else F.asc(column)
@@ -67,12 +91,10 @@ def prefix_sums(
         *[F.sum(f"_part_{s}").over(group).alias(f"total_{s}") for s in sums],
         F.lead("_edge").over(sequence).alias("_next_edge"),
     )
-    if not by:
-        offsets = F.broadcast(offsets)
 
     inside = Window.partitionBy(*by, "_bucket").orderBy(ordered(value))
     running = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return placed.join(offsets, [*by, "_bucket"]).select(
+    return placed.join(small(offsets), [*by, "_bucket"]).select(
         *df.columns,
         *[(F.col(f"_before_{s}") + F.sum(s).over(running)).alias(f"cum_{s}") for s in sums],
         *[f"total_{s}" for s in sums],
@@ -80,21 +102,22 @@ def prefix_sums(
     )
 
 
-def exact_quantiles(
-    df: DataFrame,
+def quantiles_of_counts(
+    counts: DataFrame,
     value: str,
     probabilities: Mapping[str, float],
     by: Sequence[str] = (),
     buckets: int = BUCKETS,
+    bounded_groups: bool = False,
 ) -> DataFrame:
-    """One row per group with linearly interpolated quantiles, nulls ignored.
+    """Linearly interpolated quantiles per group from ``value_counts``.
 
-    Values are first counted, so repeated values cost one row each, and no
-    group is held in one task's memory.
+    Exact, nulls ignored.  No group is held in one task's memory: repeated
+    values cost one row each and the ranks come from bucketed running sums.
     """
     by = list(by)
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
-    ranked = prefix_sums(counts, value, ["n"], by, buckets=buckets)
+    valid = counts.withColumn("n", F.when(F.col(value).isNull(), 0).otherwise(F.col("n")))
+    ranked = prefix_sums(valid, value, ["n"], by, buckets=buckets, bounded_groups=bounded_groups)
     picks, results = [], []
     for i, (name, p) in enumerate(probabilities.items()):
         position = (F.col("total_n") - 1) * F.lit(float(p))
@@ -121,12 +144,14 @@ def global_rank(
             _cut_points(F.col(score), buckets).alias("scores"), _cut_points(F.col(key), buckets).alias("keys")
         ).alias("cuts")
     )
-    is_cut = F.coalesce(F.array_contains("_cuts.scores", F.col(score)), F.lit(False))
+    placed = _place(df.withColumn("_cuts", cuts.scalar()), score, F.col("_cuts.scores"), "_below", buckets)
+    placed = _place(placed, key, F.col("_cuts.keys"), "_slice", buckets)
+    is_cut = F.coalesce(F.get("_cuts.scores", F.col("_below")) == F.col(score), F.lit(False))
     placed = (
-        df.withColumn("_cuts", cuts.scalar())
-        .withColumn("_bucket", _below("_cuts.scores", score) * 2 + is_cut.cast("int"))
-        .withColumn("_part", F.when(is_cut, _below("_cuts.keys", key)).otherwise(0))
-        .drop("_cuts")
+        placed.withColumn("_shared", is_cut.cast("int"))
+        .withColumn("_bucket", F.col("_below") * 2 + F.col("_shared"))
+        .withColumn("_part", F.when(F.col("_shared") == 1, F.col("_slice")).otherwise(0))
+        .drop("_cuts", "_below", "_slice", "_shared")
     )
     # At most 2 * buckets * buckets rows, however large `df` is.
     sequence = Window.orderBy(F.desc("_bucket"), F.asc("_part")).rowsBetween(Window.unboundedPreceding, -1)

@@ -157,7 +157,7 @@ def invalid_labels(df: DataFrame, label: str) -> DataFrame:
 
 def entities_with_stay(df: DataFrame, stays: DataFrame, entity: str) -> DataFrame:
     """Rows of a supposed no-stay cohort that do have a stay."""
-    return df.join(stays.select(entity), entity, "left_semi").select(entity)
+    return df.join(stays.select(entity).distinct(), entity, "left_semi").select(entity)
 
 
 def unknown_error_groups(df: DataFrame) -> DataFrame:

@@ -65,5 +65,9 @@ def with_first_stay(features: DataFrame, stays: DataFrame, entity: str, stay_col
 
 
 def by_stay(features: DataFrame, stays: DataFrame, entity: str, has_stay: bool) -> DataFrame:
-    """Entities with any stay (semi-join) or without one (anti-join)."""
-    return features.join(stays.select(entity), entity, "left_semi" if has_stay else "left_anti")
+    """Entities with any stay (semi-join) or without one (anti-join).
+
+    Owners are made distinct first: map-side, so that an entity with very many
+    stays reaches the join as one row.
+    """
+    return features.join(stays.select(entity).distinct(), entity, "left_semi" if has_stay else "left_anti")

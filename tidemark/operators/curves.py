@@ -25,7 +25,12 @@ def score_counts(scored: DataFrame, score: str, label: str, by: Sequence[str] =
 
 
 def score_curve(
-    scored: DataFrame, score: str, label: str, by: Sequence[str] = (), buckets: int = BUCKETS
+    scored: DataFrame,
+    score: str,
+    label: str,
+    by: Sequence[str] = (),
+    buckets: int = BUCKETS,
+    bounded_groups: bool = False,
 ) -> DataFrame:
     """Per distinct score: counts at ``score >= threshold``, precision, recall, F1.
 
@@ -33,7 +38,9 @@ def score_curve(
     the next lower distinct score.
     """
     counts = score_counts(scored, score, label, by)
-    summed = prefix_sums(counts, "score", ["pos", "n"], by, descending=True, buckets=buckets)
+    summed = prefix_sums(
+        counts, "score", ["pos", "n"], by, descending=True, buckets=buckets, bounded_groups=bounded_groups
+    )
     precision = F.col("cum_pos") / F.col("cum_n")
     # without positives every threshold has full recall
     recall = F.when(F.col("total_pos") > 0, F.try_divide("cum_pos", "total_pos")).otherwise(1.0)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.functions.columns import no_nan
-from tidemark.functions.prefix import exact_quantiles, global_rank
+from tidemark.functions.prefix import global_rank, quantiles_of_counts, value_counts
 
 GROUPS = ("TP", "FP", "FN", "TN")
 # which group is set against which
@@ -83,17 +83,19 @@ def _long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def numeric_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Per (group, feature): non-missing count, missing rate, mean and quartiles."""
-    # Counting equal values first keeps every later step at distinct values.
-    values = _long(df, columns)
-    moments = values.groupBy("group", "feature").agg(
-        F.count("value").alias("n_nonmissing"),
-        (1 - F.count("value") / F.count(F.lit(1))).alias("missing_rate"),
-        F.avg("value").alias("mean"),
+    keys = ["group", "feature"]
+    # One pass over the rows; moments and quartiles both start from the counts.
+    counts = value_counts(_long(df, columns), "value", keys)
+    known = F.sum(F.when(F.col("value").isNotNull(), F.col("n")).otherwise(0))
+    moments = counts.groupBy(*keys).agg(
+        known.alias("n_nonmissing"),
+        (1 - known / F.sum("n")).alias("missing_rate"),
+        F.try_divide(F.sum(F.col("value") * F.col("n")), known).alias("mean"),
     )
-    quartiles = exact_quantiles(
-        values, "value", {"median": 0.5, "p25": 0.25, "p75": 0.75}, ["group", "feature"]
+    quartiles = quantiles_of_counts(
+        counts, "value", {"median": 0.5, "p25": 0.25, "p75": 0.75}, keys, bounded_groups=True
     )
-    return moments.join(quartiles, ["group", "feature"], "left")
+    return moments.join(F.broadcast(quartiles), keys, "left")
 
 
 def binary_rates(df: DataFrame, columns: Sequence[str]) -> DataFrame:

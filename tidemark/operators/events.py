@@ -114,14 +114,12 @@ def clean_vitals(events: DataFrame, vitals: Vitals, item: str = "itemid", value:
     Adds ``vital_name`` and ``vital_value``.
     """
     listed = pick_items(events, list(vitals.items), item, value)
-    named = listed.withColumn("_raw", rules.canonical_item(item, vitals.items))
-    merged = named.withColumns(
+    return listed.where(rules.plausible(item, value, vitals)).withColumns(
         {
-            "vital_name": rules.harmonized_name("_raw", vitals),
-            "vital_value": rules.harmonized_value("_raw", value, vitals),
+            "vital_name": rules.canonical_item(item, vitals.merged),
+            "vital_value": rules.harmonized_value(item, value, vitals),
         }
-    ).drop("_raw")
-    return merged.where(rules.plausible("vital_name", "vital_value", vitals.bounds))
+    )
 
 
 def summarize_vitals(cleaned: DataFrame, keys: Sequence[str], vitals: Vitals, time: str = "charttime") -> DataFrame:

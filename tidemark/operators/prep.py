@@ -13,7 +13,7 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.columns import no_nan
-from tidemark.functions.prefix import exact_quantiles
+from tidemark.functions.prefix import quantiles_of_counts, value_counts
 from tidemark.specs import FeatureSet
 
 # More categories than this would not be a categorical input; fitting refuses.
@@ -27,7 +27,9 @@ def number(column: str) -> Column:
 def fit_medians(train: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``feature, median`` for columns that have any value; exact, interpolated."""
     values = train.select(*[number(c).alias(c) for c in columns]).unpivot([], list(columns), "feature", "value")
-    return exact_quantiles(values, "value", {"median": 0.5}, ["feature"])
+    counts = value_counts(values, "value", ["feature"])
+    medians = quantiles_of_counts(counts, "value", {"median": 0.5}, ["feature"], bounded_groups=True)
+    return medians.where(F.col("median").isNotNull())
 
 
 def fit_modes(train: DataFrame, columns: Sequence[str]) -> DataFrame:

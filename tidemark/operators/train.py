@@ -172,7 +172,7 @@ def train_model(
 def training_metrics(model: FittedModel, df: DataFrame) -> DataFrame:
     """``n, prevalence, auroc, auprc`` for train and valid."""
     scored = model.score(df.where(F.col("split").isin("train", "valid")))
-    return ranking_metrics(score_curve(scored, PREDICTION, model.label, ["split"]), ["split"])
+    return ranking_metrics(score_curve(scored, PREDICTION, model.label, ["split"], bounded_groups=True), ["split"])
 
 
 def metrics_report(models: Sequence[FittedModel], spark: SparkSession) -> DataFrame:

@@ -198,12 +198,11 @@ def canonical_item(plan):
     f"FROM (SELECT *, {o.EVENT_NAMES} AS raw FROM chart) q",
 )
 def unit_harmonize(plan):
-    raw = plan.tables["event_vitals"].withColumn("raw", rules.canonical_item("itemid", EVENT_VITALS.items))
-    return raw.select(
+    return plan.tables["event_vitals"].select(
         "subject_id",
         "charttime",
-        rules.harmonized_name("raw", EVENT_VITALS).alias("name"),
-        F.round(rules.harmonized_value("raw", "valuenum", EVENT_VITALS), 6).alias("value"),
+        rules.canonical_item("itemid", EVENT_VITALS.merged).alias("name"),
+        F.round(rules.harmonized_value("itemid", "valuenum", EVENT_VITALS), 6).alias("value"),
     )
 
 

@@ -22,7 +22,7 @@ class FeaturePlan:
 
     def __init__(self, study: Study, tables: Mapping[str, DataFrame]):
         self.study = study
-        self.tables = dict(tables)
+        self.tables = tables
 
     # --- sources of features -------------------------------------------------
 
@@ -157,14 +157,17 @@ class FeaturePlan:
 
     def features(self, version: str, v3: DataFrame | None = None) -> DataFrame:
         """One version's table.  V5 and V6 accept an already written V3."""
+        return self._build(version, v3).select(*self.columns(version))
+
+    def _build(self, version: str, v3: DataFrame | None = None) -> DataFrame:
+        """A version's columns, and the split driver unless a plain V3 is given."""
         s = self.study
         if version in ("V1", "V2", "V3", "V4"):
-            return self._wide(version).select(*self.columns(version))
-        v3 = self.features("V3") if v3 is None else v3
+            return self._wide(version)
+        v3 = self._wide("V3") if v3 is None else v3
         if version == "V5":
-            stays = self.stay_cohort(v3)
             vitals = self.stay_vitals().drop("intime")
-            return assemble.left_assemble(stays, [vitals], ["stay_id", s.entity]).select(*self.columns("V5"))
+            return assemble.left_assemble(self.stay_cohort(v3), [vitals], ["stay_id", s.entity])
         if version == "V6":
             return by_stay(v3, self.tables["stays"], s.entity, has_stay=False)
         raise ValueError(f"unknown version {version}")
@@ -174,16 +177,16 @@ class FeaturePlan:
     ) -> DataFrame:
         """Features with their ``split``; already written inputs may be passed.
 
-        V1 to V4 follow the subject's year, so a subject is never on both
-        sides.  V5 and V6 inherit the labels of V4 by entity.
+        The label follows the subject's year, so a subject is never on both
+        sides.  Built from the tables, the year rides along and no join is
+        needed.  A written V5 or V6 inherits the labels of the written V4 by
+        entity; a written V1 to V4 looks its subject's year up again.
         """
         s = self.study
-        if version in ("V5", "V6"):
-            features = self.features(version) if features is None else features
-            labels = self.split("V4") if split_v4 is None else split_v4
-            return assemble.inherit_split(features, labels, s.entity)
+        if split_v4 is not None:
+            return assemble.inherit_split(self.features(version) if features is None else features, split_v4, s.entity)
         if features is None:
-            wide = assemble.time_split(self._wide(version), "anchor_year", s.split_cut)
+            wide = assemble.time_split(self._build(version), "anchor_year", s.split_cut)
             return wide.select(*self.columns(version), "split")
         years = self.tables["patients"].select(s.subject, "anchor_year")
         joined = cohort.join_subject(features, years, s.subject)

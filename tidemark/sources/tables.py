@@ -2,13 +2,33 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, types as T
 
 from tidemark.specs import Study
 
 
+class LazyTables(Mapping):
+    """Tables that are opened on first use, so that a query reads the file
+    listings and footers of its own sources only."""
+
+    def __init__(self, makers: Mapping[str, Callable[[], DataFrame]]):
+        self._makers = dict(makers)
+        self._opened: dict[str, DataFrame] = {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._opened:
+            self._opened[name] = self._makers[name]()
+        return self._opened[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._makers)
+
+    def __len__(self) -> int:
+        return len(self._makers)
+
+
 def load_tables(
     spark: SparkSession,
     folder: str,
@@ -16,27 +36,30 @@ def load_tables(
     source: str = "parquet",
     schemas: Mapping[str, T.StructType | str] | None = None,
     **options: str,
-) -> dict[str, DataFrame]:
+) -> LazyTables:
     """Tables below ``folder``: one file or folder per name.
 
     ``names`` may map a table name to another file name.  Text formats take a
     schema per table, so that no pass over the data infers one.
     """
     files = names if isinstance(names, Mapping) else {name: name for name in names}
-    tables = {}
-    for name, file in files.items():
-        reader = spark.read.format(source).options(**options)
-        if schemas and name in schemas:
-            reader = reader.schema(schemas[name])
-        tables[name] = reader.load(f"{folder.rstrip('/')}/{file}.{source}")
-    return tables
+
+    def opener(name: str, file: str) -> Callable[[], DataFrame]:
+        def open_table() -> DataFrame:
+            reader = spark.read.format(source).options(**options)
+            if schemas and name in schemas:
+                reader = reader.schema(schemas[name])
+            return reader.load(f"{folder.rstrip('/')}/{file}.{source}")
+
+        return open_table
+
+    return LazyTables({name: opener(name, file) for name, file in files.items()})
 
 
-def load_jdbc(spark: SparkSession, names: Mapping[str, str], **options: str) -> dict[str, DataFrame]:
+def load_jdbc(spark: SparkSession, names: Mapping[str, str], **options: str) -> LazyTables:
     """Tables from a database; pass ``partitionColumn`` and bounds to read in parallel."""
-    return {
-        name: spark.read.format("jdbc").options(**options, dbtable=table).load() for name, table in names.items()
-    }
+    reader = spark.read.format("jdbc").options(**options)
+    return LazyTables({name: lambda t=table: reader.option("dbtable", t).load() for name, table in names.items()})
 
 
 def define_views(tables: Mapping[str, DataFrame]) -> None:

@@ -62,6 +62,16 @@ class Vitals:
     fahrenheit: str = "temp_f"
     temperature: str = "temp"
 
+    @property
+    def merged(self) -> dict[object, str]:
+        """Raw id -> final name, both temperature scales under one."""
+        scales = (self.celsius, self.fahrenheit)
+        return {raw: self.temperature if name in scales else name for raw, name in self.items.items()}
+
+    def ids(self, *names: str) -> list[object]:
+        """Raw ids listed under any of the raw names."""
+        return [raw for raw, name in self.items.items() if name in names]
+
     @property
     def stems(self) -> list[str]:
         return [f"{name}{self.suffix}" for name in self.bounds]
