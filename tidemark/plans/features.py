@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 
 from tidemark.operators import assemble, cohort, events, flags
 from tidemark.operators.cohort import by_stay, cohort_base, with_first_stay
-from tidemark.specs import Study
+from tidemark.specs import VERSIONS, Study
 
 
 class FeaturePlan:
@@ -98,15 +98,14 @@ class FeaturePlan:
         """Vital summaries after the start of each entity's first stay."""
         s = self.study
         first = cohort.first_stay(self.tables["stays"].select(s.entity, "stay_id", "intime"), s.entity)
-        anchored = first.join(self._anchors.select(s.entity), s.entity, "left_semi")
+        anchored = first.join(self.base.select(s.entity, s.subject), s.entity)
+        keys = [s.entity, s.subject]
         wanted = events.clean_vitals(self.tables["vitals"], s.vitals).select(
-            s.entity, "vital_name", "vital_value", "charttime"
+            *keys, "vital_name", "vital_value", "charttime"
         )
-        inside = events.event_window(
-            anchored, wanted, [s.entity], "intime", "charttime", s.window, carry=["stay_id"]
-        )
-        summary = events.summarize_vitals(inside, [s.entity, "stay_id"], s.vitals)
-        every = assemble.left_assemble(anchored, [summary], [s.entity, "stay_id"])
+        inside = events.event_window(anchored, wanted, keys, "intime", "charttime", s.window, carry=["stay_id"])
+        summary = events.summarize_vitals(inside, [*keys, "stay_id"], s.vitals).drop(s.subject)
+        every = assemble.left_assemble(anchored.drop(s.subject), [summary], [s.entity, "stay_id"])
         return assemble.with_missing_flags(every, s.vitals.stems)
 
     # --- assembled versions --------------------------------------------------
@@ -162,15 +161,15 @@ class FeaturePlan:
     def _build(self, version: str, v3: DataFrame | None = None) -> DataFrame:
         """A version's columns, and the split driver unless a plain V3 is given."""
         s = self.study
+        if version not in VERSIONS:
+            raise ValueError(f"unknown version {version}")
         if version in ("V1", "V2", "V3", "V4"):
             return self._wide(version)
         v3 = self._wide("V3") if v3 is None else v3
         if version == "V5":
             vitals = self.stay_vitals().drop("intime")
             return assemble.left_assemble(self.stay_cohort(v3), [vitals], ["stay_id", s.entity])
-        if version == "V6":
-            return by_stay(v3, self.tables["stays"], s.entity, has_stay=False)
-        raise ValueError(f"unknown version {version}")
+        return by_stay(v3, self.tables["stays"], s.entity, has_stay=False)
 
     def split(
         self, version: str, features: DataFrame | None = None, split_v4: DataFrame | None = None
