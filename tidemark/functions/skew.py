@@ -15,23 +15,20 @@ HOT_ROWS = 5_000_000
 
 def planned_bytes(df: DataFrame) -> int:
     """Optimizer's size estimate, the one Catalyst itself broadcasts by."""
-    return int(str(_plan(df).stats().sizeInBytes()))
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def scanned_bytes(df: DataFrame) -> int:
-    """Size of all sources below ``df``.
+    """Size of all sources below ``df``, as known without optimizing the plan.
 
     Row tables are scans, at most widened by one-row-per-key lookups, and the
-    estimate for a join is a product; the sum of the sources is nearer.
+    optimizer's estimate for a join is a product; the sum of the sources is
+    nearer.
     """
-    leaves = _plan(df).collectLeaves()
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
     return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
-def _plan(df: DataFrame):
-    return df._jdf.queryExecution().optimizedPlan()
-
-
 def hot_keys(rows: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
     """Keys owning more than ``hot_rows`` rows; counted with map-side partials."""
     counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
