@@ -39,7 +39,7 @@ def test_quantiles_per_group_match_numpy(spark, bounded):
     for g, v in SHAPES.items():
         for name, p in probs.items():
             assert found[g][name] == pytest.approx(np.quantile(v, p)), (g, name)
-    assert found["empty"]["p50"] is None
+    assert "empty" not in found
 
 
 @pytest.mark.parametrize("shape", SHAPES)

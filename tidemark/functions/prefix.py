@@ -9,6 +9,7 @@ points only balance the work: results do not depend on where they fall.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -49,6 +50,7 @@ def prefix_sums(
     descending: bool = False,
     buckets: int = BUCKETS,
     bounded_groups: bool = False,
+    needed: Column | None = None,
 ) -> DataFrame:
     """Add ``cum_<s>``, ``total_<s>`` for each of ``sums``, and ``next_value``.
 
@@ -57,6 +59,9 @@ def prefix_sums(
     ``next_value`` is the following value in that order.  ``bounded_groups``
     states that the number of groups is set by the caller and not by the data
     (columns, splits); the small tables per group are then broadcast.
+    ``needed`` limits the result to buckets meeting a condition on
+    ``_before_<s>``, ``_part_<s>`` and ``total_<s>``; the others are neither
+    shuffled nor sorted.
     """
     by = list(by)
 
@@ -87,11 +92,14 @@ def prefix_sums(
     offsets = parts.select(
         *by,
         "_bucket",
+        *[f"_part_{s}" for s in sums],
         *[F.coalesce(F.sum(f"_part_{s}").over(before), F.lit(0)).alias(f"_before_{s}") for s in sums],
         *[F.sum(f"_part_{s}").over(group).alias(f"total_{s}") for s in sums],
         F.lead("_edge").over(sequence).alias("_next_edge"),
     )
 
+    if needed is not None:
+        offsets = offsets.where(needed)
     inside = Window.partitionBy(*by, "_bucket").orderBy(ordered(value))
     running = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return placed.join(small(offsets), [*by, "_bucket"]).select(
@@ -112,21 +120,31 @@ def quantiles_of_counts(
 ) -> DataFrame:
     """Linearly interpolated quantiles per group from ``value_counts``.
 
-    Exact, nulls ignored.  No group is held in one task's memory: repeated
-    values cost one row each and the ranks come from bucketed running sums.
+    Exact, nulls ignored; a group without values has no row.  Repeated values
+    cost one row each, and only the buckets that hold a wanted rank are sorted.
     """
     by = list(by)
     valid = counts.withColumn("n", F.when(F.col(value).isNull(), 0).otherwise(F.col("n")))
-    ranked = prefix_sums(valid, value, ["n"], by, buckets=buckets, bounded_groups=bounded_groups)
-    picks, results = [], []
-    for i, (name, p) in enumerate(probabilities.items()):
+    ranks = {}
+    for i, p in enumerate(probabilities.values()):
         position = (F.col("total_n") - 1) * F.lit(float(p))
-        picks.append(F.min(F.when(F.col("cum_n") > F.floor(position), F.col(value))).alias(f"_low{i}"))
-        picks.append(F.min(F.when(F.col("cum_n") > F.ceil(position), F.col(value))).alias(f"_high{i}"))
-        fraction = (F.col("_n") - 1) * F.lit(float(p))
-        fraction = fraction - F.floor(fraction)
+        ranks[f"_low{i}"], ranks[f"_high{i}"] = F.floor(position), F.ceil(position)
+    inside = [(F.col("_before_n") <= r) & (r < F.col("_before_n") + F.col("_part_n")) for r in ranks.values()]
+    ranked = prefix_sums(
+        valid,
+        value,
+        ["n"],
+        by,
+        buckets=buckets,
+        bounded_groups=bounded_groups,
+        needed=reduce(lambda one, other: one | other, inside),
+    )
+    picks = [F.min(F.when(F.col("cum_n") > r, F.col(value))).alias(name) for name, r in ranks.items()]
+    results = []
+    for i, (name, p) in enumerate(probabilities.items()):
+        position = (F.col("_n") - 1) * F.lit(float(p))
         low, high = F.col(f"_low{i}"), F.col(f"_high{i}")
-        results.append((low + (high - low) * fraction).alias(name))
+        results.append((low + (high - low) * (position - F.floor(position))).alias(name))
     return ranked.groupBy(*by).agg(*picks, F.max("total_n").alias("_n")).select(*by, *results)
 
 

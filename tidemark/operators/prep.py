@@ -28,8 +28,7 @@ def fit_medians(train: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``feature, median`` for columns that have any value; exact, interpolated."""
     values = train.select(*[number(c).alias(c) for c in columns]).unpivot([], list(columns), "feature", "value")
     counts = value_counts(values, "value", ["feature"])
-    medians = quantiles_of_counts(counts, "value", {"median": 0.5}, ["feature"], bounded_groups=True)
-    return medians.where(F.col("median").isNotNull())
+    return quantiles_of_counts(counts, "value", {"median": 0.5}, ["feature"], bounded_groups=True)
 
 
 def fit_modes(train: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -10,6 +10,7 @@ from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tidemark.functions.skew import join_rows
 from tidemark.plans.clinical import CHRONIC, COMORBIDITY, COMORBIDITY_WEIGHTS, PLAUSIBLE
 from tidemark.plans.features import FeaturePlan
 from tidemark.sources.tables import LazyTables, load_tables
@@ -157,13 +158,14 @@ def _procedures(t) -> DataFrame:
 
 
 def _vitals(t) -> DataFrame:
-    return t["lineitem"].join(t["orders"], F.col("l_orderkey") == F.col("o_orderkey")).select(
+    charted = t["lineitem"].select(
         F.col("l_orderkey").alias("hadm_id"),
-        F.col("o_custkey").alias("subject_id"),
         F.col("l_linenumber").alias("itemid"),
         F.col("l_quantity").alias("valuenum"),
         F.col("l_shipdate").alias("charttime"),
     )
+    owners = t["orders"].select(F.col("o_orderkey").alias("hadm_id"), F.col("o_custkey").alias("subject_id"))
+    return join_rows(charted, owners, ["hadm_id"])
 
 
 def _event_vitals(t) -> DataFrame:
