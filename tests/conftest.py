@@ -10,7 +10,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 def spark():
     from tidemark.session import build_session
 
-    session = build_session("tests", 8, shuffle_partitions=4)
+    session = build_session("tests", 4, shuffle_partitions=2)
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

@@ -8,6 +8,7 @@ import pytest
 from tidemark.operators import attributions, train
 from tidemark.operators.curves import ranking_metrics, score_curve
 from tidemark.plans.clinical import CLINICAL
+from tidemark.plans.star import STAR, star_plan
 from tidemark.sources import artifacts
 from tidemark.specs import FAMILIES, VERSIONS, FeatureSet, feature_set
 
@@ -170,6 +171,15 @@ def test_training_metrics_equal_curve(linear, table):
     assert got["valid"]["auroc"] == pytest.approx(alone["auroc"])
 
 
+def test_runs_by_version(spark):
+    plan = star_plan(spark, "/root/testdata/sf0.001")
+    splits = {"V1": plan.split("V1"), "V2": plan.split("V2")}
+    runs = train.train_by_version(splits, STAR, params={"tree": {"maxIter": 2, "maxDepth": 2}, "linear": {"maxIter": 5}})
+    assert set(runs) == {(v, f) for v in splits for f in FAMILIES}
+    report = train.metrics_report(list(runs.values()), spark)
+    assert report.count() == 8 and report.where("auroc BETWEEN 0 AND 1").count() == 8
+
+
 SIZES = {"V1": (6, 0, 6), "V2": (16, 14, 30), "V3": (16, 31, 47), "V4": (34, 37, 70), "V5": (34, 33, 67), "V6": (16, 28, 44)}
 
 

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Sequence
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -61,7 +60,10 @@ def rounded(df: DataFrame, columns: Sequence[str], digits: int = 6) -> DataFrame
 
 def scratch(spark: SparkSession) -> str:
     """A new folder below the checkpoint folder."""
-    return f"{checkpoint_root(spark).rstrip('/')}/run-{uuid.uuid4().hex}"
+    root = checkpoint_root(spark)
+    if root is None:
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+    return f"{root.rstrip('/')}/run-{uuid.uuid4().hex}"
 
 
 def spark_of(plan: FeaturePlan) -> SparkSession:
@@ -1165,22 +1167,22 @@ def metrics_by_period(plan):
 TREE_PARAMS = {"maxIter": 10, "maxDepth": 3}
 
 
-@lru_cache(maxsize=8)
-def _fitted(application: str, folder: str, version: str, family: str) -> train.FittedModel:
-    """Queries of one session share a fit."""
-    plan = star_plan(SparkSession.getActiveSession(), folder)
-    return train.train_model(
-        plan.split(version),
-        feature_set(STAR, version, family),
-        STAR.label,
-        drop_all_missing_train=True,
-        check_finite=version == "V6",
-        params=TREE_PARAMS if family == "tree" else None,
-    )
+_FITS: dict[tuple, train.FittedModel] = {}
 
 
 def fitted(spark: SparkSession, folder: str, version: str, family: str) -> train.FittedModel:
-    return _fitted(spark.sparkContext.applicationId, folder, version, family)
+    """A fit on the whole split table; queries of one session share it."""
+    key = (spark.sparkContext.applicationId, folder, version, family)
+    if key not in _FITS:
+        _FITS[key] = train.train_model(
+            star_plan(spark, folder).split(version),
+            feature_set(STAR, version, family),
+            STAR.label,
+            drop_all_missing_train=True,
+            check_finite=version == "V6",
+            params=TREE_PARAMS if family == "tree" else None,
+        )
+    return _FITS[key]
 
 
 def model_query(name: str):
