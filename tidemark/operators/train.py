@@ -64,7 +64,7 @@ def fit_linear(prepared: DataFrame, n: int, n_pos: int, params: Mapping | None =
         elasticNetParam=0.0,
         standardization=False,
         maxIter=4000,
-        tol=1e-8,
+        tol=1e-6,
     )
     settings.update(params or {})
     weight = F.when(F.col("_y") == 1, n / (2.0 * n_pos)).otherwise(n / (2.0 * (n - n_pos)))
