@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from tidemark.llm import line_dedup
 from tidemark.llm.bpe import op9_byte_bpe
+from tidemark.llm.line_dedup import op1_line_dedup
 from tidemark.llm.mixing import op10_mix_sources
+from tidemark.llm.sharding import op7_shard
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
+    "op7_shard": op7_shard,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_mix_sources": op10_mix_sources,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_line_dedup": line_dedup.ORACLE}
