@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from tidemark.llm import line_dedup
 from tidemark.llm.bpe import op9_byte_bpe
+from tidemark.llm.language import op2_language
 from tidemark.llm.line_dedup import op1_line_dedup
 from tidemark.llm.mixing import op10_mix_sources
 from tidemark.llm.sharding import op7_shard
+from tidemark.llm.warc import op5_warc
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_language": op2_language,
+    "op5_warc": op5_warc,
     "op7_shard": op7_shard,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_mix_sources": op10_mix_sources,
