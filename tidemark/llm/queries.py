@@ -7,6 +7,7 @@ from tidemark.llm.bpe import op9_byte_bpe
 from tidemark.llm.language import op2_language
 from tidemark.llm.line_dedup import op1_line_dedup
 from tidemark.llm.mixing import op10_mix_sources
+from tidemark.llm.set_join import op3_jaccard_join
 from tidemark.llm.sharding import op7_shard
 from tidemark.llm.simhash import op6_simhash
 from tidemark.llm.toxicity import op8_toxicity
@@ -15,6 +16,7 @@ from tidemark.llm.warc import op5_warc
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_language": op2_language,
+    "op3_jaccard_join": op3_jaccard_join,
     "op5_warc": op5_warc,
     "op6_simhash": op6_simhash,
     "op7_shard": op7_shard,
