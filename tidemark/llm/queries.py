@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tidemark.llm import line_dedup
 from tidemark.llm.bpe import op9_byte_bpe
+from tidemark.llm.embedding_dedup import op4_embedding_dedup
 from tidemark.llm.language import op2_language
 from tidemark.llm.line_dedup import op1_line_dedup
 from tidemark.llm.mixing import op10_mix_sources
@@ -17,6 +18,7 @@ QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_language": op2_language,
     "op3_jaccard_join": op3_jaccard_join,
+    "op4_embedding_dedup": op4_embedding_dedup,
     "op5_warc": op5_warc,
     "op6_simhash": op6_simhash,
     "op7_shard": op7_shard,

@@ -246,14 +246,15 @@ def _side(df: DataFrame, side: str, *columns: str) -> DataFrame:
 def join_components(
     documents: DataFrame, k: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id"
 ) -> DataFrame:
-    """``(id, hash, n_shingles, component_id)`` of every row of ``documents``.
+    """``(id, hash, n_shingles, component, component_id)`` of every row of ``documents``.
 
     ``id`` is the document's id (the smallest long for null) and ``hash`` the
     ``xxhash64`` of its text (that of the empty one for null).  Words are A-Z
     lower-cased and stand between ASCII white space; two documents link when
     ``100 * common >= percent * union`` of their distinct ``k``-word shingles.
-    ``component_id`` is the smallest id reachable; a document without words is
-    alone.  Equal rows give equal rows; an empty table gives none.
+    ``component`` stands for what is linked, and ``component_id`` is the smallest
+    id in it; a document without words is alone and has no ``component``.  Equal
+    rows give equal rows; an empty table gives none.
     """
     slim = documents.select(
         F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("id"),
@@ -318,20 +319,31 @@ def join_components(
     whole = classes.select("class", "least_id").join(joined.withColumnRenamed("node", "class"), "class", "left")
     whole = whole.withColumn("component", F.coalesce("component", "class"))
     least = whole.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    of_class = whole.join(least, "component").select("class", "component_id")
+    of_class = whole.join(least, "component").select("class", "component", "component_id")
     return sets.join(of_class, "class", "left").select(
-        "id", "hash", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id")
+        "id",
+        "hash",
+        F.col("n").alias("n_shingles"),
+        "component",
+        F.coalesce("component_id", "id").alias("component_id"),
     )
 
 
 def keep_one(documents: DataFrame, k: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``documents`` without those that link, directly or not, to one of smaller id.
+    """One document of each component, that of the smallest id, and all without words.
 
-    Of rows that agree in id and text one stays.
+    Among texts of the same smallest id, that of the smallest hash stays; of
+    rows that agree in id and text, one.
     """
     found = join_components(documents, k, percent, text, doc_id)
-    kept = found.where("id = component_id").groupBy("id", "hash").agg(F.lit(1).alias("one")).drop("one")
-    own_id, own_hash, copy = fresh(documents, "join_id", "join_hash", "join_copy")
+    first = found.where("component is not null and id = component_id")
+    kept = (
+        first.groupBy("component", "id")
+        .agg(F.min("hash").alias("hash"))
+        .select("id", "hash")
+        .union(found.where("component is null").select("id", "hash").distinct())
+    )
+    own_id, own_hash = fresh(documents, "join_id", "join_hash")
     rows = documents.withColumns(
         {
             own_id: F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)),
@@ -339,7 +351,8 @@ def keep_one(documents: DataFrame, k: int = 5, percent: int = 80, text: str = "t
         }
     )
     kept = kept.withColumnsRenamed({"id": own_id, "hash": own_hash})
-    return rows.join(kept, [own_id, own_hash], "left_semi").drop(own_id, own_hash)
+    one = rows.join(kept, [own_id, own_hash], "left_semi").dropDuplicates([own_id, own_hash])
+    return one.drop(own_id, own_hash)
 
 
 def op3_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
