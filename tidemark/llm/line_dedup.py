@@ -104,11 +104,13 @@ def keep_bitmaps(
     )
 
 
-def with_bitmaps(df: DataFrame, bitmaps: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``df`` with ``keep``, the bitmap of each text; null if all lines stay.  A column ``keep`` is replaced."""
-    rows = df.drop("keep")
+def with_bitmaps(
+    df: DataFrame, bitmaps: DataFrame, text: str = "text", doc_id: str = "doc_id", into: str = "keep"
+) -> DataFrame:
+    """``df`` with the bitmap of each text, null if all its lines stay; a column named ``into`` is replaced."""
+    rows = df.drop(into)
     own_id, own_hash, key = fresh(rows, "bitmap_doc", "bitmap_hash", "text_hash")
-    renamed = bitmaps.select(F.col("doc_id").alias(own_id), F.col("text_hash").alias(own_hash), "keep")
+    renamed = bitmaps.select(F.col("doc_id").alias(own_id), F.col("text_hash").alias(own_hash), F.col("keep").alias(into))
     rows = rows.withColumn(key, F.xxhash64(F.col(text)))
     same = F.col(doc_id).eqNullSafe(F.col(own_id)) & (F.col(key) == F.col(own_hash))
     return rows.join(renamed, same, "left").drop(own_id, own_hash, key)
@@ -131,8 +133,8 @@ def dedup_lines(df: DataFrame, text: str = "text", doc_id: str = "doc_id", **lim
     ``n_lines`` and ``n_dropped`` are replaced, all others stay.
     """
     rows = df.drop("n_lines", "n_dropped")
-    (keep, kept) = fresh(rows, "line_keep", "line_kept")
-    marked = with_bitmaps(rows, keep_bitmaps(df, text, doc_id, **limits), text, doc_id).withColumnRenamed("keep", keep)
+    keep, kept = fresh(rows, "line_keep", "line_kept")
+    marked = with_bitmaps(rows, keep_bitmaps(df, text, doc_id, **limits), text, doc_id, keep)
     return (
         marked.withColumn(kept, kept_lines(F.col(text), F.col(keep)))
         .withColumn("n_lines", F.size(text_lines(F.col(text))).cast("long"))
