@@ -3,7 +3,6 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions.skew import hot_keys, join_rows
 from tidemark.operators import cohort, events
 from tidemark.plans.clinical import CLINICAL
 from tidemark.specs import Panel, Vitals
@@ -60,9 +59,8 @@ def test_long_and_wide_first_values_agree(spark, anchors, rows):
     assert rows(long, "hadm_id", "itemid", "first_value") == rows(unpivoted, "hadm_id", "itemid", "first_value")
 
 
-@pytest.mark.parametrize("options", [{"prune_scan": True}, {"guard_bytes": 0, "hot_rows": 10}])
-def test_routes_agree_with_the_plain_join(spark, rows, options):
-    """Entity 0 owns most rows; the second route must neither lose nor repeat any."""
+def test_pruned_scan_and_hot_entity(spark, rows):
+    """Entity 0 owns most rows; bounds on the scan and a split of its rows lose none."""
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         entities = spark.range(50).select(F.col("id").alias("hadm_id"), F.lit(T0).cast("timestamp_ntz").alias("admittime"))
@@ -74,23 +72,51 @@ def test_routes_agree_with_the_plain_join(spark, rows, options):
             F.expr("timestamp_ntz'2020-01-01' + make_dt_interval(0, CAST(id % 40 AS INT))").alias("charttime"),
         )
         plain = events.event_window(entities, data, ["hadm_id"], "admittime", "charttime", DAY)
-        other = events.event_window(entities, data, ["hadm_id"], "admittime", "charttime", DAY, **options)
+        other = events.event_window(entities, data, ["hadm_id"], "admittime", "charttime", DAY, prune_scan=True)
         assert rows(plain, *data.columns) == rows(other, *data.columns)
         assert plain.count() > 1000
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-def test_hot_keys_and_null_keys(spark, rows):
-    data = spark.createDataFrame([(1,)] * 9 + [(2,)] * 3 + [(None,)] * 20, "k long")
-    assert rows(hot_keys(data, ["k"], hot_rows=5)) == [(1,)]
-    lookup = spark.createDataFrame([(1, "x"), (2, "y"), (3, "z")], "k long, v string")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+def test_hot_key_is_split_by_adaptive_execution(spark):
+    """The window join has a shuffle on either side, so that a hot key's rows are read by several tasks."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.shuffle.partitions": "8",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
     try:
-        joined = join_rows(data, lookup, ["k"], guard_bytes=0, hot_rows=5)
-        assert rows(joined.groupBy("v").count()) == [("x", 9), ("y", 3)]
+        entities = spark.range(50).select(F.col("id").alias("hadm_id"), F.lit(T0).cast("timestamp_ntz").alias("admittime"))
+        data = spark.range(0, 60_000, 1, 8).select(
+            F.when(F.col("id") % 3 > 0, 0).otherwise(F.col("id") % 50).alias("hadm_id"),
+            F.lit(1).alias("itemid"),
+            F.xxhash64("id").cast("double").alias("valuenum"),
+            F.lit(T0).cast("timestamp_ntz").alias("charttime"),
+        )
+        inside = events.event_window(entities, data, ["hadm_id"], "admittime", "charttime", DAY)
+        assert inside.agg(F.sum("valuenum")).count() == 1 and inside.count() == 60_000
+        places = {(r["p"], r["hadm_id"]) for r in inside.select(F.spark_partition_id().alias("p"), "hadm_id", "valuenum").collect()}
+        assert sum(hadm_id == 0 for _, hadm_id in places) > 1
     finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
+def test_same_columns_must_agree(spark, rows):
+    entities = spark.createDataFrame([(1, 7, T0), (2, 8, T0)], "hadm_id long, subject_id long, admittime timestamp_ntz")
+    data = spark.createDataFrame(
+        [(1, 7, 1.0, at(1)), (1, 9, 2.0, at(1)), (2, None, 3.0, at(1)), (2, 8, 4.0, at(2))],
+        "hadm_id long, subject_id long, valuenum double, charttime timestamp_ntz",
+    )
+    inside = events.event_window(entities, data, ["hadm_id"], "admittime", "charttime", DAY, same=["subject_id"])
+    assert rows(inside, "valuenum") == [(1.0,), (4.0,)]
+    assert inside.columns == data.columns
 
 
 def vital_rows(spark, data):

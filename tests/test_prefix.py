@@ -59,3 +59,19 @@ def test_hot_score_is_ranked_in_many_tasks(spark):
     plan = global_rank(df, "s", "k", buckets=16)
     assert plan.agg(F.max("rank_desc"), F.countDistinct("rank_desc")).first()[:] == (20_000, 20_000)
     assert plan.where("rank_desc = k + 1").count() == 20_000
+
+
+@pytest.mark.parametrize("make", [str, lambda i: f"customer-{i:06d}", lambda i: "abcé"[i % 4] * (i // 4 % 9) + f"{i}", lambda i: f"{i % 7}"])
+def test_global_rank_with_text_keys_on_shared_scores(spark, make):
+    n = 3000
+    frame = pd.DataFrame({"s": [0.25 if i % 3 else 0.75 for i in range(n)], "k": [make(i) for i in range(n)]})
+    got = global_rank(spark.createDataFrame(frame).repartition(5), "s", "k", buckets=16).toPandas()
+    expected = sorted(zip(-frame["s"], (k.encode() for k in frame["k"])))
+    ranked = got.sort_values("rank_desc")
+    assert list(zip(-ranked["s"], (k.encode() for k in ranked["k"]))) == expected
+    assert list(ranked["rank_desc"]) == list(range(1, n + 1))
+
+
+def test_global_rank_refuses_keys_without_order(spark):
+    with pytest.raises(TypeError):
+        global_rank(spark.createDataFrame([(0.5, [1])], "s double, k array<int>"), "s", "k")

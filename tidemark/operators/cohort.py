@@ -7,13 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions import columns as rules
-from tidemark.functions.skew import join_rows
 from tidemark.specs import Study
 
 
 def join_subject(entities: DataFrame, subjects: DataFrame, subject: str) -> DataFrame:
     """Entities with their subject's columns; entities without a subject go."""
-    return join_rows(entities, subjects, [subject])
+    return entities.join(subjects, [subject])
 
 
 def cohort_base(entities: DataFrame, subjects: DataFrame, study: Study) -> DataFrame:

@@ -8,7 +8,6 @@ from datetime import timedelta
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.functions import columns as rules
-from tidemark.functions.skew import GUARD_BYTES, HOT_ROWS, join_rows
 from tidemark.operators.cohort import rank_one
 from tidemark.specs import Panel, Vitals
 
@@ -22,13 +21,15 @@ def event_window(
     window: timedelta,
     *,
     carry: Sequence[str] = (),
+    same: Sequence[str] = (),
     prune_scan: bool = False,
-    guard_bytes: int = GUARD_BYTES,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Events with ``anchor <= time < anchor + window`` of their entity.
 
-    ``carry`` names entity columns to add to the events.  The equi-join on ``keys`` carries the time range as a residual condition.
+    ``carry`` names entity columns to add to the events, ``same`` columns that
+    must agree besides the keys.  The equi-join on ``keys`` carries these and
+    the time range as a residual condition; a hot key is split by adaptive
+    execution.
     ``prune_scan`` adds the earliest and latest useful event time as literal
     bounds; that lets date-partitioned or time-sorted event tables skip files
     when the entities cover a slice of time, at the cost of a min/max job.
@@ -40,11 +41,13 @@ def event_window(
         rows = rows.where(
             (F.col(time) >= span.select("lo").scalar()) & (F.col(time) < span.select("hi").scalar())
         )
-    anchors = entities.select(*keys, *carry, F.col(anchor).alias("_anchor"))
-    joined = join_rows(rows, anchors, keys, guard_bytes=guard_bytes, hot_rows=hot_rows)
-    return joined.where(
-        (F.col(time) >= F.col("_anchor")) & (F.col(time) < F.col("_anchor") + length)
-    ).drop("_anchor")
+    anchors = entities.select(
+        *keys, *carry, *[F.col(c).alias(f"_own_{c}") for c in same], F.col(anchor).alias("_anchor")
+    )
+    inside = (F.col(time) >= F.col("_anchor")) & (F.col(time) < F.col("_anchor") + length)
+    for c in same:
+        inside &= F.col(c) == F.col(f"_own_{c}")
+    return rows.join(anchors, list(keys)).where(inside).drop("_anchor", *[f"_own_{c}" for c in same])
 
 
 def pick_items(events: DataFrame, items: Sequence[object], item: str = "itemid", value: str = "valuenum") -> DataFrame:
@@ -153,9 +156,10 @@ def vital_summary(
     keys: Sequence[str],
     anchor: str,
     window: timedelta,
+    same: Sequence[str] = (),
     **options,
 ) -> DataFrame:
     """Summaries of the vitals in the window after the anchor."""
-    wanted = clean_vitals(events, vitals).select(*keys, "vital_name", "vital_value", "charttime")
-    inside = event_window(entities, wanted, keys, anchor, "charttime", window, **options)
+    wanted = clean_vitals(events, vitals).select(*keys, *same, "vital_name", "vital_value", "charttime")
+    inside = event_window(entities, wanted, keys, anchor, "charttime", window, same=same, **options)
     return summarize_vitals(inside, keys, vitals)

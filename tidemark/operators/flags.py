@@ -8,7 +8,6 @@ from datetime import timedelta
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions import columns as rules
-from tidemark.functions.skew import join_rows
 from tidemark.operators.events import event_window
 from tidemark.specs import CodeRule, TextRule
 
@@ -78,7 +77,7 @@ def medication_flags(
     if dictionary is None:
         flagged = inside.select(entity, *flags)
     else:
-        flagged = join_rows(inside.select(entity, "itemid"), dictionary.select("itemid", *flags), ["itemid"])
+        flagged = inside.select(entity, "itemid").join(dictionary.select("itemid", *flags), ["itemid"])
     return _max_flags(flagged, entity, [r.name for r in rules_])
 
 
@@ -103,7 +102,7 @@ def procedure_events(
     once, on the stay, and the window is applied in that join.
     """
     owners = stays.select(entity, "stay_id").dropna()
-    anchored = join_rows(owners, entities.select(entity, anchor), [entity])
+    anchored = owners.join(entities.select(entity, anchor), [entity])
     rows = procedures.select("stay_id", "itemid", "starttime")
     return event_window(anchored, rows, ["stay_id"], anchor, "starttime", window, carry=[entity], **options)
 
@@ -121,5 +120,5 @@ def procedure_flags(
 ) -> DataFrame:
     """Text flags of procedure labels in the window, one row per entity."""
     inside = procedure_events(entities, stays, procedures, entity, anchor, window, **options)
-    flagged = join_rows(inside.select(entity, "itemid"), label_flags(items, rules_), ["itemid"])
+    flagged = inside.select(entity, "itemid").join(label_flags(items, rules_), ["itemid"])
     return _max_flags(flagged, entity, [r.name for r in rules_])

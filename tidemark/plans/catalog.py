@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.functions import columns as rules
 from tidemark.functions.prefix import global_rank
-from tidemark.functions.skew import join_rows
 from tidemark.operators import assemble, attributions, checks, cohort, curves, errors, events, flags, prep, train
 from tidemark.plans import oracle as o
 from tidemark.plans.features import FeaturePlan
@@ -330,7 +329,7 @@ def window_join_labs(plan):
 def window_join_text(plan):
     rows = plan.tables["prescriptions"]
     inside = events.event_window(plan.tables["admissions"], rows, [KEY], "admittime", "starttime", STAR.window)
-    return join_rows(inside, plan.tables["drug_items"], ["itemid"]).select(KEY, "drug", "starttime")
+    return inside.join(plan.tables["drug_items"], ["itemid"]).select(KEY, "drug", "starttime")
 
 
 @query("window_join_two_keys", "SELECT hadm_id, subject_id, itemid, valuenum, charttime FROM vitwin")
@@ -345,7 +344,7 @@ def window_join_two_keys(plan):
 def multi_hop_join(plan):
     t = plan.tables
     inside = flags.procedure_events(t["admissions"], t["stays"], t["procedures"], KEY, "admittime", STAR.window)
-    return join_rows(inside, t["items"], ["itemid"]).select(KEY, "stay_id", "starttime", "label")
+    return inside.join(t["items"], ["itemid"]).select(KEY, "stay_id", "starttime", "label")
 
 
 @query(

@@ -59,10 +59,10 @@ COMORBIDITY = (
 COMORBIDITY_WEIGHTS = {"chf": 1, "renal": 2, "dm": 1}
 
 CHRONIC = (
-    CodeRule("copd", {9: Codes(["491", "492", "496"]), 10: Codes(["J43", "J44"])}),
+    CodeRule("copd", {9: Codes(["491", "492", "496"]), 10: Codes(["J44", "J43"])}),
     CodeRule("chronic_liver", {9: Codes(["571"]), 10: Codes(["K70", "K74"])}),
     CodeRule("malignancy", {9: Codes(ranges=[("140", "239")]), 10: Codes(["C", "D0"])}),
-    CodeRule("cerebrovascular", {9: Codes(["433", "434", "435", "436"]), 10: Codes(["G45", "I63", "I64"])}),
+    CodeRule("cerebrovascular", {9: Codes(["433", "434", "435", "436"]), 10: Codes(["I63", "I64", "G45"])}),
     CodeRule("hypertension", {9: Codes(["401"]), 10: Codes(["I10"])}),
     CodeRule("cad", {9: Codes(["410", "411", "414"]), 10: Codes(["I21", "I22", "I25"])}),
 )

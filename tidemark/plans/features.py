@@ -17,12 +17,15 @@ class FeaturePlan:
 
     ``tables`` holds ``admissions, patients, labs, diagnoses, prescriptions,
     stays, procedures, items, vitals`` and optionally ``drug_items`` (the
-    dictionary of coded prescriptions).  Nothing runs until a result is used.
+    dictionary of coded prescriptions).  Nothing runs until a result is used,
+    except with ``prune_scan``: it bounds the event scans by the cohort's times,
+    which costs a small job for each.
     """
 
-    def __init__(self, study: Study, tables: Mapping[str, DataFrame]):
+    def __init__(self, study: Study, tables: Mapping[str, DataFrame], prune_scan: bool = False):
         self.study = study
         self.tables = tables
+        self.options = {"prune_scan": True} if prune_scan else {}
 
     # --- sources of features -------------------------------------------------
 
@@ -46,7 +49,7 @@ class FeaturePlan:
         s = self.study
         chosen = s.core if panel == "core" else s.extended
         anchors = self._all_anchors() if everyone else self._anchors
-        return events.panel_first(anchors, self.tables["labs"], chosen, [s.entity], s.anchor, s.window)
+        return events.panel_first(anchors, self.tables["labs"], chosen, [s.entity], s.anchor, s.window, **self.options)
 
     def comorbidity(self) -> DataFrame:
         s = self.study
@@ -66,6 +69,7 @@ class FeaturePlan:
             s.window,
             s.medications,
             self.tables.get("drug_items"),
+            **self.options,
         )
 
     def procedures(self, everyone: bool = True) -> DataFrame:
@@ -80,14 +84,15 @@ class FeaturePlan:
             s.anchor,
             s.window,
             s.procedures,
+            **self.options,
         )
 
     def _vitals_inside(self) -> DataFrame:
         s = self.study
         anchors = self.base.select(s.entity, s.subject, s.anchor)
         return events.vital_summary(
-            anchors, self.tables["vitals"], s.vitals, [s.entity, s.subject], s.anchor, s.window
-        ).drop(s.subject)
+            anchors, self.tables["vitals"], s.vitals, [s.entity], s.anchor, s.window, same=[s.subject], **self.options
+        )
 
     def vitals(self) -> DataFrame:
         """Vital summaries after the entity's anchor; every cohort entity has a row."""
@@ -99,12 +104,14 @@ class FeaturePlan:
         s = self.study
         first = cohort.first_stay(self.tables["stays"].select(s.entity, "stay_id", "intime"), s.entity)
         anchored = first.join(self.base.select(s.entity, s.subject), s.entity)
-        keys = [s.entity, s.subject]
         wanted = events.clean_vitals(self.tables["vitals"], s.vitals).select(
-            *keys, "vital_name", "vital_value", "charttime"
+            s.entity, s.subject, "vital_name", "vital_value", "charttime"
+        )
+        inside = events.event_window(
+            anchored, wanted, [s.entity], "intime", "charttime", s.window,
+            carry=["stay_id"], same=[s.subject], **self.options,
         )
-        inside = events.event_window(anchored, wanted, keys, "intime", "charttime", s.window, carry=["stay_id"])
-        summary = events.summarize_vitals(inside, [*keys, "stay_id"], s.vitals).drop(s.subject)
+        summary = events.summarize_vitals(inside, [s.entity, "stay_id"], s.vitals)
         every = assemble.left_assemble(anchored.drop(s.subject), [summary], [s.entity, "stay_id"])
         return assemble.with_missing_flags(every, s.vitals.stems)
 

@@ -56,20 +56,21 @@ EVENT_NAMES = (
 _V9, _V10 = "icd_version=9", "icd_version=10"
 
 
-def _like(prefixes: str) -> str:
-    return "(" + " OR ".join(f"icd_code LIKE '{p}%'" for p in prefixes.split()) + ")"
+def _like(*prefixes: str) -> str:
+    return "(" + " OR ".join(f"icd_code LIKE '{p}%'" for p in prefixes) + ")"
 
 
+# fixed values: code prefixes of the comorbidity and chronic groups
 CODE_TESTS = {
     "chf": (_like("428"), _like("I50")),
     "renal": ("icd_code BETWEEN '585' AND '5859'", _like("N18")),
     "dm": (_like("250"), _like("E1")),
-    "copd": (_like("491 492 496"), _like("J44 J43")),
-    "chronic_liver": (_like("571"), _like("K70 K74")),
-    "malignancy": ("icd_code BETWEEN '140' AND '239'", _like("C D0")),
-    "cerebrovascular": (_like("433 434 435 436"), _like("I63 I64 G45")),
+    "copd": (_like("491", "492", "496"), _like("J44", "J43")),
+    "chronic_liver": (_like("571"), _like("K70", "K74")),
+    "malignancy": ("icd_code BETWEEN '140' AND '239'", _like("C", "D0")),
+    "cerebrovascular": (_like("433", "434", "435", "436"), _like("I63", "I64", "G45")),
     "hypertension": (_like("401"), _like("I10")),
-    "cad": (_like("410 411 414"), _like("I21 I22 I25")),
+    "cad": (_like("410", "411", "414"), _like("I21", "I22", "I25")),
 }
 
 

@@ -10,7 +10,6 @@ from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.functions.skew import join_rows
 from tidemark.plans.clinical import CHRONIC, COMORBIDITY, COMORBIDITY_WEIGHTS, PLAUSIBLE
 from tidemark.plans.features import FeaturePlan
 from tidemark.sources.tables import LazyTables, load_tables
@@ -165,7 +164,7 @@ def _vitals(t) -> DataFrame:
         F.col("l_shipdate").alias("charttime"),
     )
     owners = t["orders"].select(F.col("o_orderkey").alias("hadm_id"), F.col("o_custkey").alias("subject_id"))
-    return join_rows(charted, owners, ["hadm_id"])
+    return charted.join(owners, ["hadm_id"])
 
 
 def _event_vitals(t) -> DataFrame:
