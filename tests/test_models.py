@@ -4,6 +4,7 @@ from math import factorial, log
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators import attributions, train
 from tidemark.operators.curves import ranking_metrics, score_curve
@@ -32,7 +33,7 @@ def linear(table):
 
 @pytest.fixture(scope="module")
 def tree(table):
-    return train.train_model(table, FeatureSet("T", "tree", ["a", "b", "flag", "gone"]), "y", params={"maxIter": 6, "maxDepth": 3, "validationTol": 0.0})
+    return train.train_model(table, FeatureSet("T", "tree", ["a", "b", "flag", "gone"]), "y", params={"maxIter": 6, "maxDepth": 3})
 
 
 def test_linear_learns_signs_and_ranks(linear, spark):
@@ -188,3 +189,25 @@ def test_feature_set_sizes(version):
     linear, tree = (feature_set(CLINICAL, version, f) for f in FAMILIES)
     assert (len(linear.continuous), len(linear.binary), len(tree.continuous)) == SIZES[version]
     assert len(set(linear.columns)) == len(linear.columns)
+
+
+def test_trees_are_chosen_by_precision_with_patience():
+    from tidemark.operators.trees import best_size
+
+    assert best_size([0.1, 0.3, 0.2, 0.2, 0.9], patience=2) == 2
+    assert best_size([0.1, 0.3, 0.2, 0.2, 0.9], patience=5) == 5
+    assert best_size([0.5], patience=1) == 1
+
+
+def test_boosting_goes_on_past_a_round_without_gain(spark):
+    """A strong signal under default settings needs many small steps."""
+    rows = spark.range(3000).select(
+        F.col("id"),
+        F.when(F.col("id") % 4 == 0, "valid").otherwise("train").alias("split"),
+        *[(F.pmod(F.xxhash64("id", F.lit(c)), F.lit(1000)) / 1000.0).alias(c) for c in "abc"],
+    )
+    noise = F.pmod(F.xxhash64("id", F.lit("n")), F.lit(1000)) / 1000.0
+    rows = rows.withColumn("y", (F.col("a") + F.col("b") * F.col("c") + 0.5 * noise > 1.2).cast("int"))
+    model = train.train_model(rows, FeatureSet("T", "tree", ["a", "b", "c"]), "y", params={"maxIter": 25})
+    assert model.details["best_iteration"] > 10
+    assert model.details["best_score"] == pytest.approx(model.details["metrics"]["valid"]["auprc"], abs=0.02)

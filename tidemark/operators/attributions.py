@@ -16,12 +16,10 @@ from math import factorial
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tidemark.operators.train import FittedModel
-
-# Spark's boosted classifier reports P(1) = 1 / (1 + exp(-2 * margin)).
-LOG_ODDS_PER_MARGIN = 2.0
+from tidemark.operators.trees import LOG_ODDS_PER_MARGIN, node_table
 
 
 def leaf_paths(nodes: pd.DataFrame, weights: list[float]) -> list[dict]:
@@ -78,26 +76,6 @@ def contributions(leaves: list[dict], x: np.ndarray) -> tuple[np.ndarray, float]
     return out, bias
 
 
-def node_table(spark: SparkSession, model_path: str) -> pd.DataFrame:
-    """Nodes of a saved boosted model.
-
-    Bounded by the model: trees times nodes of a depth-limited tree.
-    """
-    data = spark.read.parquet(f"{model_path}/data").select(
-        F.col("treeID").alias("tree"),
-        F.col("nodeData.id").alias("id"),
-        F.col("nodeData.prediction").alias("prediction"),
-        F.col("nodeData.impurityStats")[0].alias("weight"),
-        F.col("nodeData.leftChild").alias("left"),
-        F.col("nodeData.rightChild").alias("right"),
-        F.col("nodeData.split.featureIndex").alias("feature"),
-        F.when(
-            F.col("nodeData.leftChild") >= 0, F.col("nodeData.split.leftCategoriesOrThreshold")[0]
-        ).alias("threshold"),
-    )
-    return data.toPandas()
-
-
 def seeded_sample(df: DataFrame, key: str, n: int = 2000, seed: int = 42) -> DataFrame:
     """``n`` rows in an order drawn from key and seed: repeatable on any layout."""
     return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), F.col(key)).limit(n)

@@ -100,9 +100,16 @@ def standardize(df: DataFrame, scales: Mapping[str, tuple[float, float]]) -> Dat
     return df.withColumns({c: (F.col(c) - mean) / scale for c, (mean, scale) in scales.items()})
 
 
-def one_hot(column: str, categories: Sequence[str]) -> list[Column]:
-    """One 0/1 column per category; an unseen category has no 1."""
-    return [(F.col(column) == value).cast("int").alias(f"{column}_{value}") for value in categories]
+def one_hot(df: DataFrame, known: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """``keep``, ``feature``, ``value`` of each row's ones, as a table.
+
+    An unseen category or a null has none.  Categories are joined as rows, so
+    their number is not bounded and none is named in the plan.
+    """
+    values = df.select(*keep, *[F.col(c).cast("string").alias(c) for c in columns]).unpivot(
+        list(keep), list(columns), "feature", "value"
+    )
+    return values.join(known, ["feature", "value"])
 
 
 @dataclass

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field, replace
 
@@ -15,10 +16,13 @@ from tidemark.operators.assemble import require_columns, select_candidates, spli
 from tidemark.operators.checks import assert_vectors_finite, union_all
 from tidemark.operators.curves import ranking_metrics, score_curve
 from tidemark.operators.prep import Preprocessor, drop_all_missing, fit_preprocessor
-from tidemark.session import cut_lineage
+from tidemark.operators.trees import best_size, node_table, precision_by_size
+from tidemark.session import cut_lineage, shared_folder
 from tidemark.specs import FAMILIES, VERSIONS, FeatureSet, Study, feature_set
 
 PREDICTION = "y_pred_proba"
+# Boosting rounds at most, and rounds without a better validation score that end the choice.
+MAX_TREES, PATIENCE = 1000, 50
 
 
 @dataclass
@@ -71,24 +75,40 @@ def fit_linear(prepared: DataFrame, n: int, n_pos: int, params: Mapping | None =
     return LogisticRegression(**settings).fit(prepared.withColumn("_w", weight))
 
 
-def fit_tree(prepared: DataFrame, n: int, n_pos: int, params: Mapping | None = None):
-    """Boosted trees with weighted positives, stopped by the validation rows."""
+def fit_tree(vectors: DataFrame, n: int, n_pos: int, params: Mapping | None = None):
+    """Boosted trees with weighted positives, and their average precision on the validation rows.
+
+    MLlib can stop by the loss only, and at the first round that is no better.
+    So ``maxIter`` rounds are fitted on the train rows, every number of trees is
+    judged on the validation rows, and the best one is kept that ``patience``
+    further rounds do not beat.  Rounds are seeded one by one, so fitting just
+    these gives the same trees.
+    """
     settings = dict(
         featuresCol="features",
         labelCol="_y",
         weightCol="_w",
-        validationIndicatorCol="_valid",
         maxDepth=4,
         stepSize=0.05,
         subsamplingRate=0.8,
         featureSubsetStrategy="0.8",
         maxBins=64,
-        maxIter=100,
+        maxIter=MAX_TREES,
         seed=42,
     )
     settings.update(params or {})
+    patience = settings.pop("patience", PATIENCE)
     weight = F.when(F.col("_y") == 1, (n - n_pos) / max(1, n_pos)).otherwise(1.0)
-    return GBTClassifier(**settings).fit(prepared.withColumn("_w", weight))
+    train = split_rows(vectors, "train").withColumn("_w", weight)
+    fitted = GBTClassifier(**settings).fit(train)
+    place = f"{shared_folder(vectors.sparkSession)}/trees-{uuid.uuid4().hex}"
+    fitted.write().save(place)
+    nodes = node_table(vectors.sparkSession, place)
+    precision = precision_by_size(split_rows(vectors, "valid"), nodes, list(fitted.treeWeights))
+    size = best_size(precision, patience)
+    if size < fitted.getNumTrees:
+        fitted = GBTClassifier(**settings | {"maxIter": size}).fit(train)
+    return fitted, precision[size - 1]
 
 
 def train_model(
@@ -138,17 +158,15 @@ def train_model(
         raise ValueError("no usable columns")
 
     prep = fit_preprocessor(train, used)
-    prepared = prep.apply(raw).withColumns(
-        {"_y": F.col(label).cast("double"), "_valid": F.col("split") == "valid"}
-    )
+    prepared = prep.apply(raw).withColumn("_y", F.col(label).cast("double"))
     if check_finite:
         assert_vectors_finite(split_rows(prepared, "train"), prep.vector_columns, train, used.columns)
     assembler = _assembler(prep)
-    vectors = assembler.transform(prepared).select("_y", "_valid", "split", "features")
+    vectors = assembler.transform(prepared).select("_y", "split", "features")
     if features.family == "linear":
         fitted = fit_linear(split_rows(vectors, "train"), n, n_pos, params)
     else:
-        fitted = fit_tree(vectors.where(F.col("split").isin("train", "valid")), n, n_pos, params)
+        fitted, best_score = fit_tree(vectors, n, n_pos, params)
 
     details = {
         "version": features.version,
@@ -159,10 +177,17 @@ def train_model(
         "binary_used": list(used.binary),
         "categorical_used": list(used.categorical),
         "dropped_all_missing_train": dropped,
+        "dropped_by_kind": {
+            kind: [c for c in dict.fromkeys(names) if c in dropped]
+            for kind, names in (
+                ("continuous", features.continuous), ("binary", features.binary), ("categorical", features.categorical)
+            )
+        },
     }
     if features.family == "tree":
         details["positive_weight"] = (n - n_pos) / max(1, n_pos)
         details["best_iteration"] = fitted.getNumTrees
+        details["best_score"] = best_score
     model = FittedModel(prep, PipelineModel([assembler, fitted]), label, details)
     metrics = training_metrics(model, raw).collect()
     details["metrics"] = {row["split"]: row.asDict() for row in metrics}

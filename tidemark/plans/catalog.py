@@ -18,9 +18,9 @@ from tidemark.operators import assemble, attributions, checks, cohort, curves, e
 from tidemark.plans import oracle as o
 from tidemark.plans.features import FeaturePlan
 from tidemark.plans.star import EVENT_VITALS, EVENT_WINDOW, STAR, star_plan
-from tidemark.session import checkpoint_root
+from tidemark.session import shared_folder
 from tidemark.sources import artifacts, tables
-from tidemark.specs import Codes, feature_set
+from tidemark.specs import VERSIONS, Codes, feature_set
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -58,11 +58,8 @@ def rounded(df: DataFrame, columns: Sequence[str], digits: int = 6) -> DataFrame
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below the checkpoint folder."""
-    root = checkpoint_root(spark)
-    if root is None:
-        raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-    return f"{root.rstrip('/')}/run-{uuid.uuid4().hex}"
+    """A new folder below the shared one."""
+    return f"{shared_folder(spark)}/run-{uuid.uuid4().hex}"
 
 
 def spark_of(plan: FeaturePlan) -> SparkSession:
@@ -873,17 +870,9 @@ def standardize(plan):
 )
 def one_hot(plan):
     docs = plan.tables["docs"]
-    rows = prep.fit_categories(docs.where("toxic = 0"), CATEGORIES).limit(prep.MAX_CATEGORIES).collect()
-    known = {c: sorted(r["value"] for r in rows if r["feature"] == c) for c in CATEGORIES}
-    parts = []
-    for c in CATEGORIES:
-        hot = docs.select(*prep.one_hot(c, known[c]))
-        sums = hot.agg(*[F.sum(f"`{name}`").alias(f"k{i}") for i, name in enumerate(hot.columns)])
-        pairs = F.array(
-            *[F.struct(F.lit(v).alias("value"), F.col(f"k{i}").alias("n")) for i, v in enumerate(known[c])]
-        )
-        parts.append(sums.select(F.lit(c).alias("feature"), F.inline(pairs)))
-    return checks.union_all(parts)
+    known = prep.fit_categories(docs.where("toxic = 0"), CATEGORIES)
+    hot = prep.one_hot(docs, known, CATEGORIES)
+    return hot.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -1163,25 +1152,16 @@ def metrics_by_period(plan):
 
 # --- model runs: rows only ---------------------------------------------------
 
-TREE_PARAMS = {"maxIter": 10, "maxDepth": 3}
-
-
-_FITS: dict[tuple, train.FittedModel] = {}
+# Rounds of the catalog's tree fits: each is a pass over the data.
+TREE_ROUNDS = {"maxIter": 40}
 
 
 def fitted(spark: SparkSession, folder: str, version: str, family: str) -> train.FittedModel:
-    """A fit on the whole split table; queries of one session share it."""
-    key = (spark.sparkContext.applicationId, folder, version, family)
-    if key not in _FITS:
-        _FITS[key] = train.train_model(
-            star_plan(spark, folder).split(version),
-            feature_set(STAR, version, family),
-            STAR.label,
-            drop_all_missing_train=True,
-            check_finite=version == "V6",
-            params=TREE_PARAMS if family == "tree" else None,
-        )
-    return _FITS[key]
+    """A fit on the whole split table."""
+    runs = train.train_by_version(
+        {version: star_plan(spark, folder).split(version)}, STAR, [family], {"tree": TREE_ROUNDS}
+    )
+    return runs[version, family]
 
 
 def model_query(name: str):
@@ -1206,8 +1186,9 @@ def train_boosted_trees(spark, folder):
 
 @model_query("train_by_version")
 def train_by_version(spark, folder):
-    runs = [fitted(spark, folder, v, f) for v, f in (("V1", "linear"), ("V3", "linear"), ("V3", "tree"), ("V6", "linear"))]
-    return train.metrics_report(runs, spark)
+    plan = star_plan(spark, folder)
+    runs = train.train_by_version({v: plan.split(v) for v in VERSIONS}, STAR, params={"tree": TREE_ROUNDS})
+    return train.metrics_report(list(runs.values()), spark)
 
 
 @model_query("train_metrics_report")
@@ -1262,8 +1243,7 @@ def assert_vectors_finite(spark, folder):
 
 def _contributions(spark, folder) -> DataFrame:
     model = fitted(spark, folder, "V3", "tree")
-    rows = attributions.seeded_sample(_valid_v3(spark, folder), KEY)
-    return attributions.attributions(model, rows, KEY, scratch(spark))
+    return attributions.attributions(model, _valid_v3(spark, folder), KEY, scratch(spark))
 
 
 @model_query("attributions")

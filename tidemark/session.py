@@ -21,6 +21,7 @@ def build_session(name: str, cores: str | int = "*", shuffle_partitions: int = 8
         .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.checkpoint.dir", os.environ.get("TIDEMARK_SHARED_DIR", f"{tempfile.gettempdir()}/tidemark"))
         .config("spark.driver.memory", os.environ.get("TIDEMARK_DRIVER_MEMORY", "8g"))
         # wide feature tables build hundreds of columns: skip a stack trace for each
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
@@ -30,34 +31,20 @@ def build_session(name: str, cores: str | int = "*", shuffle_partitions: int = 8
     )
 
 
-def checkpoint_root(spark: SparkSession) -> str | None:
-    """Shared folder for cut lineage.
-
-    The cluster names it in ``spark.checkpoint.dir``.  Only a local session,
-    where one machine holds everything, gets a temporary folder instead; a
-    cluster without the setting gets ``None``.
-    """
-    context = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if root:
-        if not context.getCheckpointDir():
-            context.setCheckpointDir(root)
-    elif context.master.startswith("local"):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
-        root = context.getCheckpointDir()
-    return root
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables, named by ``spark.checkpoint.dir`` on every master."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return root.rstrip("/")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` once as Parquet below the checkpoint folder and read it back.
+    """Write ``df`` once as Parquet below the shared folder and read it back.
 
     Iterative fits read their input many times; the written table survives
     lost executors, stays column-prunable and gives the optimizer true sizes.
-    Without a shared folder the plan is returned unchanged, to be recomputed.
     """
-    root = checkpoint_root(df.sparkSession)
-    if root is None:
-        return df
-    path = f"{root.rstrip('/')}/table-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
