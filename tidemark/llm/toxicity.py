@@ -29,7 +29,7 @@ STANDARD_ERRORS, DRIFT = 2.0, 0.1
 #: Segments whose chance expectation is above e**MARGIN (with K at 1) are not kept.
 MARGIN = 6.0
 EULER = 0.5772156649015329
-BINS, LOWEST, HIGHEST = 600, -20.0, 40.0
+BINS, LOWEST, HIGHEST = 460, -6.0, 40.0
 
 
 def _cells(hashes: np.ndarray) -> np.ndarray:
@@ -188,16 +188,18 @@ def rarity(score: Column, tokens: Column, rate: float, log_k: float) -> Column:
 def evidence(rate: float, log_k: float) -> Column:
     """Sum of the positive rarities of a document's segments, else its best one's.
 
-    A text without a segment has that of a segment of score 0.
+    It is kept between ``LOWEST`` and ``HIGHEST``; a text without a segment,
+    such as an empty one, has the lowest.
     """
     tokens = F.col("n_tokens")
-    best = F.coalesce(F.get("segments", F.lit(0))["score"], F.lit(0.0))
+    best = F.get("segments", F.lit(0))["score"]
     more = F.aggregate(
         "segments",
         F.lit(0.0),
         lambda total, s: total + F.greatest(rarity(s["score"], tokens, rate, log_k), F.lit(0.0)),
     )
-    return F.when(more > 0, more).otherwise(rarity(best, tokens, rate, log_k))
+    value = F.when(more > 0, more).otherwise(F.coalesce(rarity(best, tokens, rate, log_k), F.lit(LOWEST)))
+    return F.least(F.greatest(value, F.lit(LOWEST)), F.lit(HIGHEST))
 
 
 def fit_logistic(binned: list[tuple[float, int, int]]) -> tuple[float, float]:
@@ -240,15 +242,14 @@ def score_toxicity(
     # everything but the text is kept; the text is scanned once
     scanned = written(with_segments(rows, Scan(scores, rate), text).drop(text), "segments")
     known = scanned.join(labels, scanned[doc_id] == labels["label_doc"])
-    best = F.coalesce(F.get("segments", F.lit(0))["score"], F.lit(0.0))
-    mean = known.where("label = 0 and n_tokens > 0").agg(F.avg(rarity(best, F.col("n_tokens"), rate, 0.0))).first()[0]
+    best = F.get("segments", F.lit(0))["score"]
+    mean = known.where("label = 0").agg(F.avg(rarity(best, F.col("n_tokens"), rate, 0.0))).first()[0]
     log_k = (mean or 0.0) - EULER
     width = (HIGHEST - LOWEST) / BINS
-    place = F.floor((F.least(F.greatest(evidence(rate, log_k), F.lit(LOWEST)), F.lit(HIGHEST)) - LOWEST) / width)
+    place = F.floor((evidence(rate, log_k) - LOWEST) / width)
     binned = known.groupBy(place.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("y")).collect()
     intercept, slope = fit_logistic([(LOWEST + (r["bin"] + 0.5) * width, r["n"], r["y"]) for r in binned])
-    bounded = F.least(F.greatest(evidence(rate, log_k), F.lit(LOWEST)), F.lit(HIGHEST))
-    score = 1 / (1 + F.exp(-(intercept + slope * bounded)))
+    score = 1 / (1 + F.exp(-(intercept + slope * evidence(rate, log_k))))
     passages = F.filter(
         F.transform(
             "segments",
