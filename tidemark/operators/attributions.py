@@ -77,8 +77,8 @@ def contributions(leaves: list[dict], x: np.ndarray) -> tuple[np.ndarray, float]
 
 
 def seeded_sample(df: DataFrame, key: str, n: int = 2000, seed: int = 42) -> DataFrame:
-    """``n`` rows in an order drawn from key and seed: repeatable on any layout."""
-    return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), F.col(key)).limit(n)
+    """``n`` rows by the digest of seed and key: repeatable on any layout and in any engine."""
+    return df.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), F.col(key)).limit(n)
 
 
 def attributions(model: FittedModel, rows: DataFrame, key: str, scratch: str) -> DataFrame:

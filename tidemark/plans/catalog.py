@@ -1164,11 +1164,13 @@ def fitted(spark: SparkSession, folder: str, version: str, family: str) -> train
     return runs[version, family]
 
 
-def model_query(name: str):
-    """Register a query that needs the session and folder to share fits."""
+def model_query(name: str, body: str | None = None):
+    """Register a query that fits on the session and folder."""
 
     def register(build: Query):
         QUERIES[name] = lambda spark, folder: plain(build(spark, folder))
+        if body is not None:
+            ORACLES[name] = o.sql(body)
         return build
 
     return register
@@ -1204,13 +1206,19 @@ def non_feature_columns(spark, folder):
     return model.score(valid).select(KEY, STAR.label, train.PREDICTION)
 
 
-@model_query("save_load_model")
+@model_query("save_load_model", "SELECT split, count(*) AS n, 0 AS n_different FROM s1 GROUP BY split")
 def save_load_model(spark, folder):
+    """Rows whose score differs after saving and loading: none."""
     model = fitted(spark, folder, "V1", "linear")
     place = scratch(spark)
     artifacts.save_model(spark, model, place)
-    loaded = artifacts.load_model(spark, place)
-    return loaded.score(star_plan(spark, folder).split("V1")).select(KEY, "split", train.PREDICTION)
+    rows = star_plan(spark, folder).split("V1")
+    before = model.score(rows).select(KEY, "split", F.col(train.PREDICTION).alias("_before"))
+    after = artifacts.load_model(spark, place).score(rows).select(KEY, train.PREDICTION)
+    different = F.when(F.col("_before").eqNullSafe(F.col(train.PREDICTION)), 0).otherwise(1)
+    return before.join(after, KEY).groupBy("split").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(different).cast("int").alias("n_different")
+    )
 
 
 @model_query("coefficients")
@@ -1228,7 +1236,10 @@ def _valid_v3(spark, folder) -> DataFrame:
     return assemble.split_rows(star_plan(spark, folder).split("V3"), "valid")
 
 
-@model_query("seeded_sample")
+@model_query(
+    "seeded_sample",
+    "SELECT hadm_id, split, age_at_admit FROM s3 WHERE split = 'valid' ORDER BY md5('42:' || hadm_id), hadm_id LIMIT 2000",
+)
 def seeded_sample(spark, folder):
     return attributions.seeded_sample(_valid_v3(spark, folder), KEY).select(KEY, "split", "age_at_admit")
 
