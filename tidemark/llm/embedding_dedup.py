@@ -53,16 +53,15 @@ def itq_rotation(sample: np.ndarray, bits: int, seed: int, iterations: int = ITE
 
 @dataclass(frozen=True)
 class Tables:
-    """Center and projections of the codes; ``bits`` of them make a table's key."""
+    """Projections of the codes; ``bits`` of them make a table's key."""
 
-    center: np.ndarray
     projections: np.ndarray
     bits: int
     tables: int
 
     def keys(self, unit: np.ndarray) -> np.ndarray:
         """Key of every vector in every table."""
-        signs = ((unit - self.center) @ self.projections) >= 0
+        signs = (unit @ self.projections) >= 0
         chosen = signs[:, : self.tables * self.bits].reshape(len(unit), self.tables, self.bits)
         return chosen @ (1 << np.arange(self.bits, dtype=np.int64))
 
@@ -72,17 +71,18 @@ def fit_tables(sample: np.ndarray, rows: int, threshold: float = THRESHOLD, reca
 
     The key length follows from the number of rows and the bucket size; the
     number of tables from the chance that two vectors at the threshold agree in
-    all bits of a key.  Several rotations are learned if one has too few bits.
+    all bits of a key.  That chance holds for planes through the origin, so the
+    vectors are not centered.  Several rotations are learned if one has too few
+    bits.
     """
     dims = sample.shape[1]
     bits = min(max(4, math.ceil(math.log2(max(2, rows) / BUCKET_ROWS))), MOST_BITS, dims)
     same = (1 - math.acos(threshold) / math.pi) ** bits
     tables = math.ceil(math.log(1 - recall) / math.log(1 - same))
-    center = sample.mean(axis=0) if len(sample) else np.zeros(dims)
     per_rotation = dims // bits * bits
     rotations = math.ceil(tables * bits / per_rotation)
-    projections = [itq_rotation(sample - center, dims, SEED + i)[:, :per_rotation] for i in range(rotations)]
-    return Tables(center, np.concatenate(projections, axis=1), bits, tables)
+    projections = [itq_rotation(sample, dims, SEED + i)[:, :per_rotation] for i in range(rotations)]
+    return Tables(np.concatenate(projections, axis=1), bits, tables)
 
 
 def _matrix(vectors: pa.Array, dims: int) -> np.ndarray:
