@@ -24,6 +24,8 @@ from tidemark.llm.wordhash import LETTERS, word_runs
 
 #: Tokens are hashed into this many cells; counts and scores are arrays of this size.
 CELLS = 1 << 18
+#: About as many labelled rows at most teach the token scores; they are broadcast.
+LABELLED_ROWS = 250_000
 PRIOR, PRIOR_TOKENS = 0.25, 2_000.0
 STANDARD_ERRORS, DRIFT = 2.0, 0.1
 #: Segments whose chance expectation is above e**MARGIN (with K at 1) are not kept.
@@ -39,8 +41,8 @@ def _cells(hashes: np.ndarray) -> np.ndarray:
 def class_counts(labelled: DataFrame, text: str = "text", toxic: str = "toxic") -> np.ndarray:
     """Documents of either class that hold a cell's token: an array ``[2, CELLS]``.
 
-    All labelled rows count; each task sends one row per cell it has met, and
-    these are summed before the array, of fixed size, reaches the driver.
+    Each task sends one row per cell it has met, and these are summed before
+    the array, of fixed size, reaches the driver.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,7 +229,9 @@ def score_toxicity(
     """``documents`` with ``n_tokens``, ``passages``, ``score`` and ``predicted``.
 
     ``labelled`` has ``doc_id`` and ``toxic`` (1 or 0; others are passed over)
-    of the documents to learn from.  ``passages`` are the significant segments:
+    of the documents to learn from.  The token scores come from ``LABELLED_ROWS``
+    of them, drawn by hash, or all if there are fewer; significance and the
+    logistic curve come from all.  ``passages`` are the significant segments:
     ``(score, start, end, expected)`` with fewer than one expected by chance.
     Columns of these names are replaced.  Without labels every score is 0.5.
     """
@@ -235,7 +239,9 @@ def score_toxicity(
         F.col(doc_id).alias("label_doc"), F.col(toxic).alias("label")
     )
     texts = documents.select(F.col(doc_id).alias("label_doc"), F.col(text).alias("text"))
-    counts = class_counts(texts.join(labels, "label_doc"), "text", "label")
+    step = max(1, -(-labels.count() // LABELLED_ROWS))
+    teachers = labels.where(F.pmod(F.xxhash64("label_doc"), F.lit(step)) == 0)
+    counts = class_counts(texts.join(F.broadcast(teachers), "label_doc"), "text", "label")
     scores = token_scores(counts)
     rate = karlin_lambda(scores, counts[0])
     rows = documents.drop("n_tokens", "segments", "passages", "score", "predicted")
