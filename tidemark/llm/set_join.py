@@ -17,6 +17,7 @@ of different components are left to compare.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +28,8 @@ from tidemark.llm.common import document_table, fresh, written
 from tidemark.llm.components import components
 from tidemark.llm.wordhash import BLANK_SEPARATED, Words, mixed, word_runs
 
-#: Shingles are counted in this many cells.
-CELLS = 1 << 17
+#: Shingles are counted in this many cells, sent and summed in chunks.
+CELLS, CHUNK = 1 << 20, 1 << 14
 #: Bits of the table that tells which texts have partners; its size is fixed.
 WANTED_BITS = 1 << 23
 BITMAP, WORDS_OF_BITMAP = 256, 4
@@ -90,11 +91,11 @@ def _prefix(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _sets(documents: DataFrame, k: int) -> DataFrame:
-    """A row per document with its class, size and parity bitmap; and counts per cell."""
+    """A row per document with its class, size and parity bitmap; and each task's counts of cells."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(CELLS, dtype=np.int64)
-        names = ["id", "hash", "class", "n", *MAPS, "cell", "count"]
+        names = ["id", "hash", "class", "n", *MAPS, "chunk", "counts"]
         for batch in batches:
             for low, words in word_runs(batch.column(2), BLANK_SEPARATED):
                 text, h, n, classes = _described(words, k)
@@ -103,7 +104,7 @@ def _sets(documents: DataFrame, k: int) -> DataFrame:
                 place = text * BITMAP + (h & np.uint64(BITMAP - 1)).astype(np.int64)
                 odd.ravel()[:] = np.bincount(place, minlength=words.texts * BITMAP) & 1
                 maps = np.packbits(odd, axis=1).view(np.int64)
-                none = pa.nulls(words.texts, pa.int64())
+                none = pa.nulls(words.texts, pa.int64()), pa.nulls(words.texts, pa.binary())
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(low, words.texts),
@@ -111,17 +112,38 @@ def _sets(documents: DataFrame, k: int) -> DataFrame:
                         pa.array(classes.view(np.int64)),
                         pa.array(n),
                         *[pa.array(np.ascontiguousarray(maps[:, i])) for i in range(WORDS_OF_BITMAP)],
-                        none,
-                        none,
+                        *none,
                     ],
                     names,
                 )
-        met = np.flatnonzero(counts)
-        none = pa.nulls(len(met), pa.int64())
-        yield pa.RecordBatch.from_arrays([none] * (4 + len(MAPS)) + [pa.array(met), pa.array(counts[met])], names)
+        chunks = CELLS // CHUNK
+        packed = [zlib.compress(part.tobytes(), 1) for part in counts.reshape(chunks, CHUNK)]
+        none = [pa.nulls(chunks, pa.int64())] * (4 + len(MAPS))
+        yield pa.RecordBatch.from_arrays([*none, pa.array(range(chunks), pa.int64()), pa.array(packed)], names)
 
-    columns = ", ".join(f"{c} bigint" for c in ("id", "hash", "class", "n", *MAPS, "cell", "count"))
-    return documents.mapInArrow(scan, columns)
+    columns = ", ".join(f"{c} bigint" for c in ("id", "hash", "class", "n", *MAPS, "chunk"))
+    return documents.mapInArrow(scan, f"{columns}, counts binary")
+
+
+def _counted(chunks: DataFrame) -> np.ndarray:
+    """Sums of the tasks' counts; what reaches the driver has ``CELLS`` numbers."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for chunk, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                counts = np.frombuffer(zlib.decompress(packed), dtype=np.int64)
+                sums[chunk] = sums[chunk] + counts if chunk in sums else counts
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(sums), pa.int64()), pa.array([zlib.compress(s.tobytes(), 1) for s in sums.values()], pa.binary())],
+            ["chunk", "counts"],
+        )
+
+    summed = chunks.repartition("chunk").mapInArrow(add, "chunk bigint, counts binary").collect()
+    out = np.zeros((CELLS // CHUNK, CHUNK), dtype=np.int64)
+    for row in summed:
+        out[row["chunk"]] = np.frombuffer(zlib.decompress(row["counts"]), dtype=np.int64)
+    return out.ravel()
 
 
 def _postings(documents: DataFrame, counts: np.ndarray, k: int, percent: int) -> DataFrame:
@@ -161,14 +183,15 @@ def _wanted_bit(c: Column) -> Column:
     return F.pmod(c, F.lit(WANTED_BITS))
 
 
-def _texts(documents: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """``(class, text)`` of the classes in ``wanted``, one text of each.
+def _texts(documents: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+    """``(class, text)`` of the classes in ``pairs``, one text of each.
 
     A bit table of fixed size, with a bit for the classes of each residue, keeps
     most other texts from being moved.
     """
     words = (
-        wanted.select(_wanted_bit(F.col("class")).alias("bit"))
+        pairs.select(F.explode(F.array("a", "b")).alias("class"))
+        .select(_wanted_bit(F.col("class")).alias("bit"))
         .groupBy(F.floor(F.col("bit") / 64).alias("word"))
         .agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits"))
         .toPandas()
@@ -194,7 +217,7 @@ def _texts(documents: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(classes[rows].view(np.int64)), picked], ["class", "text"])
 
     found = documents.mapInArrow(scan, "class bigint, text string")
-    return found.groupBy("class").agg(F.first("text").alias("text"))
+    return written(found.groupBy("class").agg(F.first("text").alias("text")), "texts")
 
 
 def _linked(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -262,10 +285,8 @@ def join_components(
         F.coalesce(F.col(text), F.lit("")).alias("text"),
     )
     scanned = written(_sets(slim, k), "sets")
-    sets = scanned.where("cell is null").drop("cell", "count")
-    sketch = scanned.where("cell is not null").groupBy("cell").agg(F.sum("count").alias("count")).toPandas()
-    counts = np.zeros(CELLS, dtype=np.int64)
-    counts[sketch["cell"].to_numpy(dtype=np.int64)] = sketch["count"].to_numpy(dtype=np.int64)
+    sets = scanned.where("chunk is null").drop("chunk", "counts")
+    counts = _counted(scanned.where("chunk is not null").select("chunk", "counts"))
 
     classes = written(
         sets.where("n > 0").groupBy("class").agg(
@@ -287,8 +308,7 @@ def join_components(
     )
     one, other = (_side(about.withColumnRenamed("class", s), s, s) for s in ("a", "b"))
     near = written(near.join(one, "a").join(other, "b").where(_may_link(percent)).select("a", "b"), "pairs")
-    texts = written(_texts(slim, lists.select("class"), k), "texts")
-    links = written(_linked(near, texts, k, percent), "links")
+    links = written(_linked(near, _texts(slim, near, k), k, percent), "links")
     joined = components(links)
 
     # lists with sets of different components: the smaller set of a pair has the token in its first block
@@ -312,7 +332,8 @@ def join_components(
         .distinct()
         .join(near, ["a", "b"], "left_anti")
     )
-    more = _linked(rest, texts, k, percent)
+    rest = written(rest, "pairs")
+    more = _linked(rest, _texts(slim, rest, k), k, percent)
     links = written(links.union(more), "links")
     joined = components(links)
 
