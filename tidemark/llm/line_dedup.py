@@ -87,12 +87,14 @@ def keep_bitmaps(
     # a range partition holds all lines of a hash and document, in order
     in_document = Window.partitionBy("h1", "h2", "doc_id").orderBy("position")
     hashed = written(hashed.withColumn("first", F.row_number().over(in_document) == 1), "line-hashes")
-    repeated = (
+    # written, so that adaptive execution knows the size of either side of the join and can split a hot line
+    repeated = written(
         hashed.where("first")
         .groupBy("h1", "h2")
         .agg(F.count(F.lit(1)).alias("documents"), F.max("doc_id").alias("last_doc"))
         .where(F.col("documents") >= min_documents)
-        .select("h1", "h2", "last_doc")
+        .select("h1", "h2", "last_doc"),
+        "repeated-lines",
     )
     dropped = hashed.join(repeated, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("last_doc")))
     bit = F.expr(f"shiftleft(1L, cast(position % {BITS} as int))")
