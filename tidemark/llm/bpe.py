@@ -26,13 +26,13 @@ from pyspark.sql.types import BinaryType
 from tidemark.llm.common import document_table
 
 #: Entries of either cache, and the longest key that is kept.
-CACHE_ENTRIES, CACHED_LENGTH = 600_000, 48
+CACHE_ENTRIES, CACHED_LENGTH = 350_000, 48
 
 NONE = 1 << 62  # larger than any pair's key
 #: Pieces up to this many bytes are merged side by side, longer ones alone.
 SIDE_BY_SIDE = 64
 #: Texts of a batch whose chunks are looked up together.
-TEXTS_AT_ONCE = 128
+TEXTS_AT_ONCE = 96
 _CODERS: dict[str, Coder] = {}
 _TWO_BLANKS = regex.compile(r"\s\s")
 _LATIN_END = "\u0250"
