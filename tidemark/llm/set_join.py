@@ -246,7 +246,9 @@ def _linked(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
 
     one = texts.select(F.col("class").alias("a"), F.col("text").alias("text_a"))
     other = texts.select(F.col("class").alias("b"), F.col("text").alias("text_b"))
-    joined = pairs.join(one, "a").join(other, "b").select("a", "b", "text_a", "text_b")
+    # the texts are the larger side at any size; without the hint small tables of pairs would change the plan
+    joined = pairs.join(one.hint("merge"), "a").join(other.hint("merge"), "b")
+    joined = joined.select("a", "b", "text_a", "text_b")
     return joined.mapInArrow(scan, "a bigint, b bigint")
 
 
