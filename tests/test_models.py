@@ -211,3 +211,42 @@ def test_boosting_goes_on_past_a_round_without_gain(spark):
     model = train.train_model(rows, FeatureSet("T", "tree", ["a", "b", "c"]), "y", params={"maxIter": 25})
     assert model.details["best_iteration"] > 10
     assert model.details["best_score"] == pytest.approx(model.details["metrics"]["valid"]["auprc"], abs=0.02)
+
+
+def test_growing_fits_choose_as_one_long_fit(table, monkeypatch):
+    """Patience ends the choice, neither the first fit's rounds nor a cap."""
+    from tidemark.operators import trees
+
+    sizes = []
+
+    def rising_then_flat(valid, nodes, weights, **names):
+        sizes.append(len(weights))
+        return [min(i, 13) / 100 for i in range(len(weights))]
+
+    monkeypatch.setattr(train, "FIRST_TREES", 4)
+    spec, params = FeatureSet("T", "tree", ["a", "flag"]), {"maxIter": 24, "maxDepth": 2, "patience": 3}
+    grown = train.train_model(table, spec, "y", params=params).details
+    monkeypatch.setattr(train, "FIRST_TREES", 24)
+    whole = train.train_model(table, spec, "y", params=params).details
+    assert (grown["best_iteration"], grown["best_score"]) == (whole["best_iteration"], whole["best_score"])
+    assert trees.best_size(rising_then_flat(None, None, range(24)), 3) == 14
+    sizes.clear()
+    monkeypatch.setattr(train, "FIRST_TREES", 4)
+    monkeypatch.setattr(train, "precision_by_size", rising_then_flat)
+    assert train.train_model(table, spec, "y", params=params).details["best_iteration"] == 14
+    assert sizes == [6, 12, 24]
+
+
+def test_catalog_fits_trees_without_a_cap_of_rounds(spark, monkeypatch):
+    from tidemark.plans import catalog
+
+    seen = []
+
+    def no_fit(vectors, n, n_pos, params=None):
+        seen.append(dict(params or {}))
+        raise InterruptedError
+
+    monkeypatch.setattr(train, "fit_tree", no_fit)
+    with pytest.raises(InterruptedError):
+        catalog.fitted(spark, "/root/testdata/sf0.001", "V3", "tree")
+    assert seen == [{}] and train.MAX_TREES >= 10 * train.PATIENCE

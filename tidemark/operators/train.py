@@ -23,6 +23,8 @@ from tidemark.specs import FAMILIES, VERSIONS, FeatureSet, Study, feature_set
 PREDICTION = "y_pred_proba"
 # Boosting rounds at most, and rounds without a better validation score that end the choice.
 MAX_TREES, PATIENCE = 1000, 50
+# Rounds of the first fit; they double until the patience ends the choice.
+FIRST_TREES = 100
 
 
 @dataclass
@@ -79,10 +81,11 @@ def fit_tree(vectors: DataFrame, n: int, n_pos: int, params: Mapping | None = No
     """Boosted trees with weighted positives, and their average precision on the validation rows.
 
     MLlib can stop by the loss only, and at the first round that is no better.
-    So ``maxIter`` rounds are fitted on the train rows, every number of trees is
-    judged on the validation rows, and the best one is kept that ``patience``
-    further rounds do not beat.  Rounds are seeded one by one, so fitting just
-    these gives the same trees.
+    So every number of trees is judged on the validation rows, and the best one
+    is kept that ``patience`` further rounds do not beat.  Rounds are seeded one
+    by one, so a longer fit begins with the trees of a shorter one: fits of
+    twice as many rounds each, ``maxIter`` at most, follow until the patience
+    ends the choice, which is that of ``maxIter`` rounds at once.
     """
     settings = dict(
         featuresCol="features",
@@ -100,12 +103,18 @@ def fit_tree(vectors: DataFrame, n: int, n_pos: int, params: Mapping | None = No
     patience = settings.pop("patience", PATIENCE)
     weight = F.when(F.col("_y") == 1, (n - n_pos) / max(1, n_pos)).otherwise(1.0)
     train = split_rows(vectors, "train").withColumn("_w", weight)
-    fitted = GBTClassifier(**settings).fit(train)
-    place = f"{shared_folder(vectors.sparkSession)}/trees-{uuid.uuid4().hex}"
-    fitted.write().save(place)
-    nodes = node_table(vectors.sparkSession, place)
-    precision = precision_by_size(split_rows(vectors, "valid"), nodes, list(fitted.treeWeights))
-    size = best_size(precision, patience)
+    most = settings["maxIter"]
+    rounds = min(most, max(FIRST_TREES, 2 * patience))
+    while True:
+        fitted = GBTClassifier(**settings | {"maxIter": rounds}).fit(train)
+        place = f"{shared_folder(vectors.sparkSession)}/trees-{uuid.uuid4().hex}"
+        fitted.write().save(place)
+        nodes = node_table(vectors.sparkSession, place)
+        precision = precision_by_size(split_rows(vectors, "valid"), nodes, list(fitted.treeWeights))
+        size = best_size(precision, patience)
+        if rounds == most or size + patience <= len(precision):
+            break
+        rounds = min(most, 2 * rounds)
     if size < fitted.getNumTrees:
         fitted = GBTClassifier(**settings | {"maxIter": size}).fit(train)
     return fitted, precision[size - 1]

@@ -1152,15 +1152,10 @@ def metrics_by_period(plan):
 
 # --- model runs: rows only ---------------------------------------------------
 
-# Rounds of the catalog's tree fits: each is a pass over the data.
-TREE_ROUNDS = {"maxIter": 40}
-
 
 def fitted(spark: SparkSession, folder: str, version: str, family: str) -> train.FittedModel:
     """A fit on the whole split table."""
-    runs = train.train_by_version(
-        {version: star_plan(spark, folder).split(version)}, STAR, [family], {"tree": TREE_ROUNDS}
-    )
+    runs = train.train_by_version({version: star_plan(spark, folder).split(version)}, STAR, [family])
     return runs[version, family]
 
 
@@ -1189,7 +1184,7 @@ def train_boosted_trees(spark, folder):
 @model_query("train_by_version")
 def train_by_version(spark, folder):
     plan = star_plan(spark, folder)
-    runs = train.train_by_version({v: plan.split(v) for v in VERSIONS}, STAR, params={"tree": TREE_ROUNDS})
+    runs = train.train_by_version({v: plan.split(v) for v in VERSIONS}, STAR)
     return train.metrics_report(list(runs.values()), spark)
 
 
