@@ -3,6 +3,7 @@ import string
 
 import pytest
 
+from tidemark.llm import set_join
 from tidemark.llm.components import components
 from tidemark.llm.set_join import NO_ID, join_components, keep_one
 
@@ -62,6 +63,36 @@ def test_one_of_each_group_stays(documents, rows_of_documents, clashing, empty):
     assert join_components(empty).count() == 0
 
 
+def links_by_hand(rows, k, percent):
+    sets = [shingles(r[1], k) for r in rows]
+    n = [0] * len(rows)
+    for i in range(len(rows)):
+        for j in range(i):
+            common = len(sets[i] & sets[j])
+            if sets[i] and sets[j] and 100 * common >= percent * (len(sets[i]) + len(sets[j]) - common):
+                n[i] += 1
+                n[j] += 1
+    return sorted((NO_ID if r[0] is None else r[0], x) for r, x in zip(rows, n))
+
+
+def test_links_as_by_hand(spark, documents, rows_of_documents, monkeypatch):
+    got = join_components(documents, 3, 90).select("id", "n_links").collect()
+    assert sorted(map(tuple, got)) == links_by_hand(rows_of_documents, 3, 90)
+    # a family of near copies, some of them twice, whose pairs mostly link, in one block and in several
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(70):
+        words = [*base[: 100 + i % 12], f"own{i}"]
+        rows += [(i, " ".join(words), "", "", 0)] * (2 if i % 9 == 0 else 1)
+    df = spark.createDataFrame(rows, documents.schema)
+    want = links_by_hand(rows, 3, 90)
+    assert sum(n for _, n in want) > 20 * len(rows)
+    for sets in (128, 16):
+        monkeypatch.setattr(set_join, "BLOCK_SETS", sets)
+        got = join_components(df, 3, 90).select("id", "n_links").collect()
+        assert sorted(map(tuple, got)) == want
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(50)] + [(100, i) for i in range(101, 160)] + [(7, 7), (200, 201), (201, 200)]
     got = dict(map(tuple, components(spark.createDataFrame(links, "a bigint, b bigint")).collect()))

@@ -13,6 +13,10 @@ bitmaps bound the overlap of the others.  And a set takes over the answers of a
 set it is highly similar to: each list's members are first compared with two of
 its sets only, what links to these is one component, and afterwards only pairs
 of different components are left to compare.
+
+Links lie within components.  To number them, the sets of a component are dealt
+to blocks, and each pair of blocks is compared whole, as a product of matrices,
+in one task: rows per set and block leave it, and no pairs.
 """
 
 from __future__ import annotations
@@ -34,6 +38,10 @@ CELLS, CHUNK = 1 << 20, 1 << 14
 WANTED_BITS = 1 << 23
 BITMAP, WORDS_OF_BITMAP = 256, 4
 NO_ID = -(1 << 63)
+#: A component of more sets, or of more shingles in all, is cut into blocks.
+BLOCK_SETS, BLOCK_SHINGLES = 128, 1 << 21
+#: Columns of a block's matrix at a time.
+STRIP = 1024
 MAPS = [f"map{i}" for i in range(WORDS_OF_BITMAP)]
 
 
@@ -252,6 +260,80 @@ def _linked(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
     return joined.mapInArrow(scan, "a bigint, b bigint")
 
 
+def block_links(
+    text: np.ndarray, h: np.ndarray, n: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int
+) -> np.ndarray:
+    """Which sets of ``left`` (rows) link to which of ``right`` (columns); a set is no link of itself.
+
+    ``(text, h)`` are the shingles of sets of sizes ``n``; shingles of one set only add to no overlap.
+    """
+    _, column, times = np.unique(h, return_inverse=True, return_counts=True)
+    shared = times > 1
+    place = np.cumsum(shared) - 1
+    on = shared[column]
+    row, column = text[on], place[column[on]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    common = np.zeros((len(left), len(right)), dtype=np.int64)
+    for start in range(0, int(shared.sum()), STRIP):
+        a, b = np.searchsorted(column, [start, start + STRIP])
+        strip = np.zeros((len(n), STRIP), dtype=np.float32)
+        strip[row[a:b], column[a:b] - start] = 1
+        common += (strip[left] @ strip[right].T).astype(np.int64)
+    linked = 100 * common >= percent * (n[left][:, None] + n[right][None, :] - common)
+    return linked & (left[:, None] != right[None, :])
+
+
+def _class_links(nodes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """``(class, linked)``: documents of other classes that each class of ``nodes`` links to.
+
+    ``nodes`` has ``class``, ``component``, ``n`` and ``copies``.  The blocks of
+    a component grow with the root of its number of sets, as does their number.
+    """
+
+    def count(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        texts, hashes, sizes, done = [], [], [], 0
+        for _, words in word_runs(table.column("text").combine_chunks(), BLANK_SEPARATED):
+            text, h = shingle_sets(words, k)
+            texts.append(text + done)
+            hashes.append(h)
+            sizes.append(np.bincount(text, minlength=words.texts))
+            done += words.texts
+        block, copies, name = (table.column(c).to_numpy() for c in ("block", "copies", "class"))
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        linked = block_links(
+            np.concatenate(texts), np.concatenate(hashes), np.concatenate(sizes), left, right, percent
+        )
+        names, totals = [name[left]], [linked @ copies[right]]
+        if i != j:
+            names.append(name[right])
+            totals.append(copies[left] @ linked)
+        return pa.table({"class": np.concatenate(names), "linked": np.concatenate(totals).astype(np.int64)})
+
+    sizes = nodes.groupBy("component").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("shingles"))
+    cut = F.when(F.col("sets") > BLOCK_SETS, F.sqrt("sets") / 4).otherwise(1)
+    sizes = sizes.select("component", F.ceil(F.greatest(cut, F.col("shingles") / BLOCK_SHINGLES)).alias("blocks"))
+    placed = nodes.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("class"), "blocks"))
+    placed = placed.select("class", "component", "copies", "block", "blocks")
+    dealt = (
+        placed.join(texts.hint("merge"), "class")
+        .withColumn("partner", F.explode(F.expr("sequence(0L, blocks - 1)")))
+        .select(
+            "component",
+            F.least("block", "partner").alias("i"),
+            F.greatest("block", "partner").alias("j"),
+            "block",
+            "class",
+            "copies",
+            "text",
+        )
+    )
+    counted = dealt.groupBy("component", "i", "j").applyInArrow(count, "class bigint, linked bigint")
+    return counted.groupBy("class").agg(F.sum("linked").alias("linked"))
+
+
 def _required(percent: int) -> Column:
     """Least overlap with which sets of sizes n_a and n_b reach the similarity."""
     return F.expr(f"({percent} * (n_a + n_b) + {100 + percent - 1}) div {100 + percent}")
@@ -269,17 +351,25 @@ def _side(df: DataFrame, side: str, *columns: str) -> DataFrame:
 
 
 def join_components(
-    documents: DataFrame, k: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id"
+    documents: DataFrame,
+    k: int = 5,
+    percent: int = 80,
+    text: str = "text",
+    doc_id: str = "doc_id",
+    links: bool = True,
 ) -> DataFrame:
-    """``(id, hash, n_shingles, component, component_id)`` of every row of ``documents``.
+    """``(id, hash, n_shingles, component, component_id, class, n_links)`` of every row of ``documents``.
 
     ``id`` is the document's id (the smallest long for null) and ``hash`` the
     ``xxhash64`` of its text (that of the empty one for null).  Words are A-Z
     lower-cased and stand between ASCII white space; two documents link when
     ``100 * common >= percent * union`` of their distinct ``k``-word shingles.
     ``component`` stands for what is linked, and ``component_id`` is the smallest
-    id in it; a document without words is alone and has no ``component``.  Equal
-    rows give equal rows; an empty table gives none.
+    id in it; a document without words is alone and has no ``component``.  Rows of
+    equal sets have one ``class`` (0 without words), and ``n_links`` is how many
+    other rows a row links to, those of its own class among them; without
+    ``links`` it is left out and not computed.  Equal rows give equal rows; an
+    empty table gives none.
     """
     slim = documents.select(
         F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("id"),
@@ -292,7 +382,10 @@ def join_components(
 
     classes = written(
         sets.where("n > 0").groupBy("class").agg(
-            F.max("n").alias("n"), F.min("id").alias("least_id"), *[F.max(m).alias(m) for m in MAPS]
+            F.max("n").alias("n"),
+            F.min("id").alias("least_id"),
+            F.count(F.lit(1)).alias("copies"),
+            *[F.max(m).alias(m) for m in MAPS],
         ),
         "classes",
     )
@@ -301,7 +394,7 @@ def join_components(
     shared = postings.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high")
     lists = written(postings.join(shared, "token"), "lists")
 
-    about = classes.drop("least_id")
+    about = classes.drop("least_id", "copies")
     near = (
         lists.select("class", F.explode(F.array("low", "high")).alias("other"))
         .where("class <> other")
@@ -310,8 +403,9 @@ def join_components(
     )
     one, other = (_side(about.withColumnRenamed("class", s), s, s) for s in ("a", "b"))
     near = written(near.join(one, "a").join(other, "b").where(_may_link(percent)).select("a", "b"), "pairs")
-    links = written(_linked(near, _texts(slim, near, k), k, percent), "links")
-    joined = components(links)
+    texts = _texts(slim, near, k)
+    found = written(_linked(near, texts, k, percent), "links")
+    joined = components(found)
 
     # lists with sets of different components: the smaller set of a pair has the token in its first block
     member = lists.select("token", "class", "position").join(
@@ -335,21 +429,29 @@ def join_components(
         .join(near, ["a", "b"], "left_anti")
     )
     rest = written(rest, "pairs")
-    more = _linked(rest, _texts(slim, rest, k), k, percent)
-    links = written(links.union(more), "links")
-    joined = components(links)
+    other_texts = _texts(slim, rest, k)
+    more = _linked(rest, other_texts, k, percent)
+    joined = components(written(found.union(more), "links"))
 
-    whole = classes.select("class", "least_id").join(joined.withColumnRenamed("node", "class"), "class", "left")
+    whole = classes.select("class", "least_id", "copies").join(joined.withColumnRenamed("node", "class"), "class", "left")
     whole = whole.withColumn("component", F.coalesce("component", "class"))
     least = whole.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    of_class = whole.join(least, "component").select("class", "component", "component_id")
-    return sets.join(of_class, "class", "left").select(
+    of_class = whole.join(least, "component").select("class", "component", "component_id", "copies")
+    columns = [
         "id",
         "hash",
         F.col("n").alias("n_shingles"),
         "component",
         F.coalesce("component_id", "id").alias("component_id"),
-    )
+    ]
+    if links:
+        nodes = joined.withColumnRenamed("node", "class").join(classes.select("class", "n", "copies"), "class")
+        # both hold a text of each class that has a link
+        every_text = texts.union(other_texts.join(texts.select("class"), "class", "left_anti"))
+        of_class = of_class.join(written(_class_links(nodes, every_text, k, percent), "linked"), "class", "left")
+        n_links = F.coalesce(F.col("copies") - 1 + F.coalesce("linked", F.lit(0)), F.lit(0))
+        columns += ["class", n_links.alias("n_links")]
+    return sets.join(of_class, "class", "left").select(*columns)
 
 
 def keep_one(documents: DataFrame, k: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -358,7 +460,7 @@ def keep_one(documents: DataFrame, k: int = 5, percent: int = 80, text: str = "t
     Among texts of the same smallest id, that of the smallest hash stays; of
     rows that agree in id and text, one.
     """
-    found = join_components(documents, k, percent, text, doc_id)
+    found = join_components(documents, k, percent, text, doc_id, links=False)
     first = found.where("component is not null and id = component_id")
     kept = (
         first.groupBy("component", "id")
@@ -380,4 +482,4 @@ def keep_one(documents: DataFrame, k: int = 5, percent: int = 80, text: str = "t
 
 def op3_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     found = join_components(document_table(spark, folder), k=3, percent=90)
-    return found.select(F.nullif("id", F.lit(NO_ID)).alias("doc_id"), "n_shingles", "component_id")
+    return found.select(F.nullif("id", F.lit(NO_ID)).alias("doc_id"), "n_shingles", "component_id", "n_links")
