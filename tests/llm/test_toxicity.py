@@ -100,3 +100,19 @@ def test_offsets_are_characters(spark):
     row = with_segments(df, Scan(scores, 1.0)).first()
     (segment,) = row["segments"]
     assert row["n_tokens"] == 3 and "  é日 ab, c! "[segment["start"] : segment["end"]] == "é日 ab, c!"
+
+
+def test_all_maximal_segments_of_a_long_text_are_kept(spark):
+    """A cut by a constant before the fit lost those that only a small log_k makes significant."""
+    from tidemark.llm.toxicity import _cells
+    from tidemark.llm.wordhash import LETTERS, word_runs
+
+    text = " ".join(["bäd bäd"] * 3 + ["day"] * 5000 + ["bäd"] + ["day"] * 5000 + ["bäd bäd"])
+    import pyarrow as pa
+
+    (_, words), = word_runs(pa.array(["bäd"]), LETTERS)
+    scores = np.full(1 << 18, -1.0)
+    scores[_cells(words.hashes)] = 1.0
+    row = with_segments(spark.createDataFrame([(1, text)], "id int, text string"), Scan(scores, 1.0)).first()
+    assert [s["score"] for s in row["segments"]] == [6.0, 2.0, 1.0]
+    assert {text[s["start"] : s["end"]] for s in row["segments"]} == {"bäd bäd bäd bäd bäd bäd", "bäd bäd", "bäd"}

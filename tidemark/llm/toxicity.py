@@ -11,7 +11,6 @@ logistic curve over it gives the probability.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,8 +27,6 @@ CELLS = 1 << 18
 LABELLED_ROWS = 250_000
 PRIOR, PRIOR_TOKENS = 0.25, 2_000.0
 STANDARD_ERRORS, DRIFT = 2.0, 0.1
-#: Segments whose chance expectation is above e**MARGIN (with K at 1) are not kept.
-MARGIN = 6.0
 EULER = 0.5772156649015329
 BINS, LOWEST, HIGHEST = 460, -6.0, 40.0
 
@@ -138,9 +135,9 @@ class Scan:
 def with_segments(df: DataFrame, scan: Scan, text: str = "text") -> DataFrame:
     """Add ``n_tokens`` and ``segments`` of ``(score, start, end)``, best first.
 
-    ``start`` and ``end`` are characters of the text.  Listed are the best
-    segment and all others that may be significant (see ``MARGIN``).  A null or
-    empty text has no token and no segment.
+    ``start`` and ``end`` are characters of the text.  Listed are all maximal
+    segments, since which are significant is known only after ``log_k`` is
+    fitted to them.  A null or empty text has no token and no segment.
     """
     shared = df.sparkSession.sparkContext.broadcast(scan)
     kind = pa.struct(
@@ -152,7 +149,7 @@ def with_segments(df: DataFrame, scan: Scan, text: str = "text") -> DataFrame:
 
     @F.arrow_udf("n_tokens bigint, segments array<struct<score:double,start:int,end:int>>")
     def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        scores, rate = shared.value.scores, shared.value.rate
+        scores = shared.value.scores
         for batch in batches:
             out = []
             for low, words in word_runs(batch, LETTERS):
@@ -161,15 +158,15 @@ def with_segments(df: DataFrame, scan: Scan, text: str = "text") -> DataFrame:
                 for text in range(words.texts):
                     a, b = bounds[text], bounds[text + 1]
                     found = sorted(maximal_segments(value[a:b]), reverse=True) if b > a else []
-                    least = (math.log(b - a) - MARGIN) / rate if b > a else 0
-                    kept = [s for i, s in enumerate(found) if not i or s[0] > least]
                     segments = []
-                    if kept:
+                    if found:
                         raw = batch[low + text].as_py().encode()
                         start = words.starts[a:b] - words.offsets[text]
-                        for score, first, end in kept:
+                        lead = np.frombuffer(raw, dtype=np.uint8) & 0xC0 != 0x80
+                        before = np.concatenate([[0], np.cumsum(lead)])
+                        for score, first, end in found:
                             until = int(start[end]) if end < b - a else len(raw)
-                            at = len(raw[: int(start[first])].decode())
+                            at = int(before[start[first]])
                             passage = raw[int(start[first]) : until].decode().rstrip()
                             segments.append({"score": score, "start": at, "end": at + len(passage)})
                     out.append({"n_tokens": b - a, "segments": segments})
