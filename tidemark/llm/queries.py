@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tidemark.llm import line_dedup
+from tidemark.llm import line_dedup, merkle
 from tidemark.llm.bpe import op9_byte_bpe
 from tidemark.llm.embedding_dedup import op4_embedding_dedup
 from tidemark.llm.language import op2_language
 from tidemark.llm.line_dedup import op1_line_dedup
+from tidemark.llm.merkle import op11_merkle
 from tidemark.llm.mixing import op10_mix_sources
 from tidemark.llm.set_join import op3_jaccard_join
 from tidemark.llm.sharding import op7_shard
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_mix_sources": op10_mix_sources,
+    "op11_merkle": op11_merkle,
 }
 
-ORACLES: dict[str, str] = {"op1_line_dedup": line_dedup.ORACLE}
+ORACLES: dict[str, str] = {"op1_line_dedup": line_dedup.ORACLE, "op11_merkle": merkle.ORACLE}
