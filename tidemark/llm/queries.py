@@ -14,6 +14,7 @@ from tidemark.llm.sharding import op7_shard
 from tidemark.llm.simhash import op6_simhash
 from tidemark.llm.toxicity import op8_toxicity
 from tidemark.llm.warc import op5_warc
+from tidemark.llm.whitening import op13_whitening
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_byte_bpe": op9_byte_bpe,
     "op10_mix_sources": op10_mix_sources,
     "op11_merkle": op11_merkle,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLES: dict[str, str] = {"op1_line_dedup": line_dedup.ORACLE, "op11_merkle": merkle.ORACLE}
