@@ -5,6 +5,7 @@ from __future__ import annotations
 from tidemark.llm import line_dedup, merkle
 from tidemark.llm.bpe import op9_byte_bpe
 from tidemark.llm.embedding_dedup import op4_embedding_dedup
+from tidemark.llm.katz import op12_katz
 from tidemark.llm.language import op2_language
 from tidemark.llm.line_dedup import op1_line_dedup
 from tidemark.llm.merkle import op11_merkle
@@ -28,6 +29,7 @@ QUERIES = {
     "op9_byte_bpe": op9_byte_bpe,
     "op10_mix_sources": op10_mix_sources,
     "op11_merkle": op11_merkle,
+    "op12_katz": op12_katz,
     "op13_whitening": op13_whitening,
 }
 
