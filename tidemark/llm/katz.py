@@ -28,7 +28,7 @@ from tidemark.llm.common import document_table, fold, new_folder, written
 from tidemark.llm.wordhash import BASE, BLANK_SEPARATED, mixed, word_runs
 
 #: Tokens coded together, about; a longer text is a block of its own.
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 1_000_000
 #: Tokens of the corpus for each partition of the n-gram tables.
 PARTITION_TOKENS = 1_000_000
 #: Counts up to this one are discounted.
