@@ -29,6 +29,8 @@ from tidemark.llm.wordhash import BASE, BLANK_SEPARATED, mixed, word_runs
 
 #: Tokens coded together, about; a longer text is a block of its own.
 BLOCK_TOKENS = 1_000_000
+#: Bytes of texts hashed together, which takes some forty times as much memory.
+RUN_BYTES = 1 << 20
 #: Tokens of the corpus for each partition of the n-gram tables.
 PARTITION_TOKENS = 1_000_000
 #: Counts up to this one are discounted.
@@ -86,9 +88,18 @@ class Block:
     """The n-grams of a block's tokens, and which end with which shorter one.
 
     Before each document stand ``order - 1`` start signs, after it an end sign.
+    With ``keys_only`` nothing but the n-grams and their counts is kept.
     """
 
-    def __init__(self, words: np.ndarray, codes: np.ndarray, lengths: np.ndarray, learn: np.ndarray, order: int):
+    def __init__(
+        self,
+        words: np.ndarray,
+        codes: np.ndarray,
+        lengths: np.ndarray,
+        learn: np.ndarray,
+        order: int,
+        keys_only: bool = False,
+    ):
         self.lengths = lengths + 1  # with the end sign
         pad = order - 1
         starts = np.cumsum(self.lengths + pad) - (self.lengths + pad)
@@ -109,9 +120,12 @@ class Block:
                 ending = np.zeros_like(tokens)
                 ending[1:] = mixed(before[:-1] * BASE + tokens[1:])
             keys, first, inverse = np.unique(ending[real], return_index=True, return_inverse=True)
+            inverse = inverse.astype(np.int32)
             self.keys.append(keys)
-            self.inverse.append(inverse)
             self.counts.append(np.bincount(inverse, weights=weight, minlength=len(keys)).astype(np.int64))
+            if keys_only:
+                continue
+            self.inverse.append(inverse)
             if level:
                 contexts, context = np.unique(before[real[first] - 1], return_inverse=True)
                 self.contexts.append(contexts)
@@ -161,7 +175,7 @@ def coded_blocks(df: DataFrame, learn: Column, text: str, block_tokens: int) ->
 
         for batch in batches:
             flags = batch.column(1).to_numpy(zero_copy_only=False)
-            for low, words in word_runs(batch.column(2), BLANK_SEPARATED):
+            for low, words in word_runs(batch.column(2), BLANK_SEPARATED, RUN_BYTES):
                 documents.append(batch.column(0).slice(low, words.texts))
                 learnt.append(flags[low : low + words.texts])
                 hashes.append(words.hashes)
@@ -176,13 +190,14 @@ def coded_blocks(df: DataFrame, learn: Column, text: str, block_tokens: int) ->
     return rows.mapInArrow(code, schema)
 
 
-def _decoded(row: dict, order: int) -> Block:
+def _decoded(row: dict, order: int, keys_only: bool = False) -> Block:
     return Block(
         np.frombuffer(row["words"], np.uint64),
         unpacked(row["codes"]),
         unpacked(row["lengths"]),
         np.frombuffer(row["learn"], np.uint8),
         order,
+        keys_only,
     )
 
 
@@ -425,8 +440,9 @@ def katz_scores(
 
     def ask_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                block = _decoded(row, order)
+            for i in range(batch.num_rows):
+                (row,) = batch.slice(i, 1).to_pylist()
+                block = _decoded(row, order, keys_only=True)
                 for level in range(order):
                     yield requests(level, row["block"], block.keys[level], bits, block.counts[level])
 
