@@ -13,6 +13,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidemark.functions.ranges import numbered
+
 BUCKETS = 256  # a power of two
 ACCURACY = 10_000
 
@@ -148,59 +150,11 @@ def quantiles_of_counts(
     return ranked.groupBy(*by).agg(*picks, F.max("total_n").alias("_n")).select(*by, *results)
 
 
-def _ordered_number(df: DataFrame, key: str) -> Column:
-    """A number that never falls as ``key`` rises, to cut a text key by.
-
-    Texts compare by their bytes.  After the bytes that the smallest and the
-    largest key share, and so all keys, the next six count.  Equal numbers only
-    put rows into one slice, where they are ordered by the key itself.
-    """
-    kind = dict(df.dtypes)[key]
-    if kind != "string":
-        if kind.startswith(("array", "struct", "map", "binary", "boolean", "interval")):
-            raise TypeError(f"{key} is {kind}; ranks need a number, date, time or text as key")
-        return F.col(key)
-    ends = df.agg(F.min(key).alias("low"), F.max(key).alias("high")).first()
-    low, high = ((ends[c] or "").encode() for c in ("low", "high"))
-    shared = next((i for i, (a, b) in enumerate(zip(low, high)) if a != b), min(len(low), len(high)))
-    taken = F.hex(F.substring(F.col(key).cast("binary"), shared + 1, 6))
-    return F.conv(F.rpad(taken, 12, "0"), 16, 10).cast("long")
-
-
-def global_rank(
-    df: DataFrame, score: str, key: str, rank: str = "rank_desc", buckets: int = BUCKETS
-) -> DataFrame:
-    """1-based rank by descending ``score``, ties by ascending unique ``key``.
-
-    The key is a number, a date, a time or a text; other types are refused.
+def global_rank(df: DataFrame, score: str, key: str, rank: str = "rank_desc") -> DataFrame:
+    """1-based rank by descending ``score``, ties by ascending unique ``key``; null scores come last.
 
-    A score that many rows share is a cut point itself and gets a bucket of
-    its own, which is split again by key; no task ranks more than about a
-    ``buckets``-th of the rows.
+    Rows are range-partitioned by score and key, so rows that share a score are
+    spread by their keys.  The key is of any type that Spark can order.
     """
-    keyed = df.withColumn("_order", _ordered_number(df, key))
-    cuts = keyed.agg(
-        F.struct(
-            _cut_points(F.col(score), buckets).alias("scores"), _cut_points(F.col("_order"), buckets).alias("keys")
-        ).alias("cuts")
-    )
-    placed = _place(keyed.withColumn("_cuts", cuts.scalar()), score, F.col("_cuts.scores"), "_below", buckets)
-    placed = _place(placed, "_order", F.col("_cuts.keys"), "_slice", buckets)
-    is_cut = F.coalesce(F.get("_cuts.scores", F.col("_below")) == F.col(score), F.lit(False))
-    placed = (
-        placed.withColumn("_shared", is_cut.cast("int"))
-        .withColumn("_bucket", F.col("_below") * 2 + F.col("_shared"))
-        .withColumn("_part", F.when(F.col("_shared") == 1, F.col("_slice")).otherwise(0))
-        .drop("_cuts", "_below", "_slice", "_shared", "_order")
-    )
-    # At most 2 * buckets * buckets rows, however large `df` is.
-    sequence = Window.orderBy(F.desc("_bucket"), F.asc("_part")).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        placed.groupBy("_bucket", "_part")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select("_bucket", "_part", F.coalesce(F.sum("_n").over(sequence), F.lit(0)).alias("_before"))
-    )
-    inside = Window.partitionBy("_bucket", "_part").orderBy(F.desc(score), F.asc(key))
-    return placed.join(F.broadcast(offsets), ["_bucket", "_part"]).select(
-        *df.columns, (F.col("_before") + F.row_number().over(inside)).cast("long").alias(rank)
-    )
+    placed = numbered(df, [F.desc(score), F.asc(key)], "_place")
+    return placed.select(*df.columns, (F.col("_place") + 1).alias(rank))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.columns import no_nan
-from tidemark.functions.prefix import global_rank, quantiles_of_counts, value_counts
+from tidemark.functions.prefix import global_rank
+from tidemark.functions.quantiles import exact_quantiles
 
 GROUPS = ("TP", "FP", "FN", "TN")
 # which group is set against which
@@ -44,18 +45,30 @@ def error_group_counts(
     df: DataFrame, label: str, predicted: str, entity: str = "hadm_id", stay: str = "stay_id"
 ) -> DataFrame:
     """One row: size, rates, counts per group, distinct entities and stays."""
-    counts = [F.count(F.when(F.col("error_group") == g, 1)).alias(f"n_{g.lower()}") for g in GROUPS]
-    out = df.agg(
-        F.count(F.lit(1)).alias("n_total"),
-        F.avg(_number(label)).alias("label_prevalence"),
-        F.avg(_number(predicted)).alias("pred_positive_rate_05"),
-        *counts,
+    keys = {key: name for key, name in ((entity, "n_unique_entity"), (stay, "n_unique_stay")) if key in df.columns}
+    label_value, predicted_value = _number(label), _number(predicted)
+    sums = {
+        "n_total": F.count(F.lit(1)),
+        "_labels": F.count(label_value),
+        "_label": F.sum(label_value),
+        "_predictions": F.count(predicted_value),
+        "_predicted": F.sum(predicted_value),
+        **{f"n_{g.lower()}": F.count_if(F.col("error_group") == g) for g in GROUPS},
+    }
+    # rows of an entity and stay are combined first; all counts, the distinct ones too, come from these
+    each = df.groupBy(*keys).agg(*[c.alias(name) for name, c in sums.items()])
+    total = each.agg(
+        *[F.coalesce(F.sum(name), F.lit(0)).alias(name) if name.startswith("n_") else F.sum(name).alias(name) for name in sums],
+        *[F.count_distinct(F.col(key)).alias(name) for key, name in keys.items()],
     )
-    for key, name in ((entity, "n_unique_entity"), (stay, "n_unique_stay")):
-        if key in df.columns:
-            distinct = df.select(key).where(F.col(key).isNotNull()).distinct().agg(F.count(F.lit(1)))
-            out = out.withColumn(name, distinct.scalar())
-    if entity in df.columns:
+    out = total.select(
+        "n_total",
+        F.try_divide("_label", "_labels").alias("label_prevalence"),
+        F.try_divide("_predicted", "_predictions").alias("pred_positive_rate_05"),
+        *[f"n_{g.lower()}" for g in GROUPS],
+        *keys.values(),
+    )
+    if entity in keys:
         out = out.withColumn("n_duplicate_rows", F.col("n_total") - F.col("n_unique_entity"))
     return out
 
@@ -70,46 +83,56 @@ def all_false_negatives(df: DataFrame, score: str, key: str) -> DataFrame:
     return df.where(F.col("error_group") == "FN").orderBy(F.desc(score), F.asc(key))
 
 
-def _long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row per (group, feature, value), absent columns skipped."""
+def _grouped_numbers(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """``group`` and the numbers of graded rows; absent columns are skipped."""
     present = [c for c in columns if c in df.columns]
     if not present:
         raise ValueError("none of the columns to summarize is present")
     numbers = df.where(F.col("error_group").isin(*GROUPS)).select(
         F.col("error_group").alias("group"), *[_number(c).alias(c) for c in present]
     )
-    return numbers.unpivot("group", present, "feature", "value")
+    return numbers, present
 
 
-def numeric_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Per (group, feature): non-missing count, missing rate, mean and quartiles."""
-    keys = ["group", "feature"]
-    # One pass over the rows; moments and quartiles both start from the counts.
-    counts = value_counts(_long(df, columns), "value", keys)
-    known = F.sum(F.when(F.col("value").isNotNull(), F.col("n")).otherwise(0))
-    moments = counts.groupBy(*keys).agg(
-        known.alias("n_nonmissing"),
-        (1 - known / F.sum("n")).alias("missing_rate"),
-        F.try_divide(F.sum(F.col("value") * F.col("n")), known).alias("mean"),
+def _by_feature(rows: DataFrame, columns: Sequence[str], measures: Mapping[str, Callable[[str], Column]]) -> DataFrame:
+    """``group, feature`` and the measures, from one aggregate over all columns."""
+    wide = rows.groupBy("group").agg(
+        *[measure(c).alias(f"{name}_{i}") for i, c in enumerate(columns) for name, measure in measures.items()]
     )
-    quartiles = quantiles_of_counts(
-        counts, "value", {"median": 0.5, "p25": 0.25, "p75": 0.75}, keys, bounded_groups=True
+    entries = F.array(
+        *[
+            F.struct(F.lit(c).alias("feature"), *[F.col(f"{name}_{i}").alias(name) for name in measures])
+            for i, c in enumerate(columns)
+        ]
     )
-    return moments.join(F.broadcast(quartiles), keys, "left")
+    return wide.select("group", F.inline(entries))
+
+
+def _missing_rate(column: str) -> Column:
+    return 1 - F.count(column) / F.count(F.lit(1))
+
+
+def numeric_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Per (group, feature): non-missing count, missing rate, mean and quartiles.
+
+    ``df`` is read four times, so a long plan is best written before.
+    """
+    rows, present = _grouped_numbers(df, columns)
+    moments = _by_feature(rows, present, {"n_nonmissing": F.count, "missing_rate": _missing_rate, "mean": F.avg})
+    quartiles = exact_quantiles(rows, present, {"median": 0.5, "p25": 0.25, "p75": 0.75}, ["group"])
+    return moments.join(F.broadcast(quartiles), ["group", "feature"], "left")
 
 
 def binary_rates(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Per (group, flag): non-missing count, missing rate, rate and count of 1."""
-    return (
-        _long(df, columns)
-        .groupBy("group", "feature")
-        .agg(
-            F.count("value").alias("n_nonmissing"),
-            (1 - F.count("value") / F.count(F.lit(1))).alias("missing_rate"),
-            F.avg("value").alias("rate_1"),
-            F.count(F.when(F.col("value") == 1, 1)).alias("count_1"),
-        )
-    )
+    rows, present = _grouped_numbers(df, columns)
+    measures = {
+        "n_nonmissing": F.count,
+        "missing_rate": _missing_rate,
+        "rate_1": F.avg,
+        "count_1": lambda c: F.count_if(F.col(c) == 1),
+    }
+    return _by_feature(rows, present, measures)
 
 
 def contrast(summary: DataFrame, measures: Sequence[str]) -> DataFrame:
