@@ -47,8 +47,8 @@ def test_linear_learns_signs_and_ranks(linear, spark):
 
 def test_linear_matches_gradient_of_its_objective(linear, table):
     """At the optimum the balanced, penalised gradient vanishes (C = 1)."""
-    rows = linear.prep.apply(table.where("split = 'train'")).select("y", *linear.prep.vector_columns).toPandas()
-    x, y = rows[linear.prep.vector_columns].to_numpy(), rows["y"].to_numpy()
+    rows = linear.prep.apply(table.where("split = 'train'")).select("y", *linear.prep.number_columns).toPandas()
+    x, y = rows[linear.prep.number_columns].to_numpy(), rows["y"].to_numpy()
     w = np.array(linear.classifier.coefficients)
     weight = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum())))
     residual = weight * (1 / (1 + np.exp(-(x @ w + train.intercept(linear)))) - y)
@@ -66,7 +66,7 @@ def test_closed_form_for_one_category(spark):
 
 def test_expression_score_equals_model_score(linear, table):
     prep = linear.prep
-    weights = dict(zip(prep.vector_columns, map(float, linear.classifier.coefficients)))
+    weights = dict(zip(prep.number_columns, map(float, linear.classifier.coefficients)))
     plain = train.linear_probability(prep.apply(table), weights, train.intercept(linear)).select("hadm_id", train.PREDICTION)
     both = plain.join(linear.score(table).select("hadm_id", train.PREDICTION).withColumnRenamed(train.PREDICTION, "m"), "hadm_id")
     assert both.selectExpr(f"max(abs({train.PREDICTION} - m)) AS d").first()["d"] < 1e-9
@@ -150,7 +150,7 @@ def test_contributions_are_shapley_values_and_add_up(tree, table, spark, tmp_pat
     gap = sums.selectExpr("max(abs(`sum(contribution)` - log_odds)) AS gap").first()["gap"]
     assert gap < 1e-9
     leaves = attributions.leaf_paths(attributions.node_table(spark, f"file://{tmp_path}/classifier"), list(tree.classifier.treeWeights))
-    x = np.array(tree.prep.apply(sample).select(*tree.prep.vector_columns).limit(5).collect(), dtype=float)
+    x = np.array(tree.prep.apply(sample).select(*tree.prep.number_columns).limit(5).collect(), dtype=float)
     values, bias = attributions.contributions(leaves, x)
     for row, got in zip(x, values):
         expected, base = brute_shapley(leaves, row, 3)
@@ -237,6 +237,119 @@ def test_growing_fits_choose_as_one_long_fit(table, monkeypatch):
     assert sizes == [6, 12, 24]
 
 
+def test_first_trees_equal_a_shorter_fit(table, spark, tmp_path):
+    """Cut off the saved model, the first trees score as a fit of so many rounds does."""
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.functions import vector_to_array
+
+    from tidemark.operators.trees import first_trees
+
+    prep = train.fit_preprocessor(table.where("split = 'train'"), FeatureSet("T", "tree", ["a", "b", "flag"]))
+    rows = prep.stages(spark)[-1].transform(prep.apply(table)).select("hadm_id", F.col("y").cast("double").alias("_y"), "features")
+    settings = dict(featuresCol="features", labelCol="_y", maxDepth=3, stepSize=0.05, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=42)
+    longer = GBTClassifier(**settings, maxIter=9).fit(rows)
+    longer.write().save(f"file://{tmp_path}/longer")
+    cut = first_trees(longer, f"file://{tmp_path}/longer", 4)
+    again = GBTClassifier(**settings, maxIter=4).fit(rows)
+    assert cut.getNumTrees == 4 and cut.treeWeights == again.treeWeights
+
+    def scores(model):
+        return {r[0]: r[1] for r in model.transform(rows).select("hadm_id", vector_to_array("probability")[1]).collect()}
+
+    assert scores(cut) == scores(again) != scores(longer)
+    cut.write().save(f"file://{tmp_path}/saved")
+    assert scores(type(cut).load(f"file://{tmp_path}/saved")) == scores(again)
+
+
+def test_trees_are_fitted_once(table, monkeypatch):
+    calls = []
+    fit = train.GBTClassifier.fit
+
+    def counted(self, *rows):
+        calls.append(self.getMaxIter())
+        return fit(self, *rows)
+
+    monkeypatch.setattr(train.GBTClassifier, "fit", counted)
+    model = train.train_model(table, FeatureSet("T", "tree", ["a", "flag"]), "y", params={"maxIter": 8, "maxDepth": 4})
+    assert calls == [8] and model.details["best_iteration"] <= 8
+    assert model.details["best_score"] == model.details["metrics"]["valid"]["auprc"]
+
+
+def test_categories_reach_trees_and_attributions(spark, tmp_path, rows):
+    """A category that a tree asks for is named; the others are not listed."""
+    n = 1200
+    df = spark.range(n).select(
+        F.col("id").alias("hadm_id"),
+        F.concat(F.lit("c"), (F.col("id") % 40).cast("string")).alias("cat"),
+        (F.col("id") % 7).cast("double").alias("a"),
+        F.when(F.col("id") % 3 == 0, "valid").otherwise("train").alias("split"),
+        (F.col("id") % 40 == 5).cast("int").alias("y"),
+    )
+    model = train.train_model(df, FeatureSet("T", "tree", ["a"], [], ["cat"]), "y", params={"maxIter": 2, "maxDepth": 2})
+    assert model.details["metrics"]["valid"]["auroc"] == 1.0
+    valid = df.where("split = 'valid'")
+    long = attributions.attributions(model, valid, "hadm_id", f"file://{tmp_path}/scratch")
+    names = {r["feature"] for r in long.select("feature").distinct().collect()}
+    assert {"a", "cat_c5", "<bias>"} <= names and len(names) < 10
+    sums = long.groupBy("hadm_id").agg(F.sum("contribution").alias("s")).join(attributions.margins(model, valid, "hadm_id"), "hadm_id")
+    assert sums.selectExpr("max(abs(s - log_odds)) AS gap").first()["gap"] < 1e-9
+    artifacts.save_model(spark, model, f"file://{tmp_path}/models")
+    loaded = artifacts.load_model(spark, f"file://{tmp_path}/models")
+    assert rows(loaded.score(valid), "hadm_id", train.PREDICTION) == rows(model.score(valid), "hadm_id", train.PREDICTION)
+
+
+def test_bundles_count_while_they_write_and_leave_models_usable(spark, table, tmp_path):
+    """Observed metrics in a session must not keep a fitted model from being sent to tasks."""
+    from tidemark.plans import reports
+
+    place = f"file://{tmp_path}/bundle"
+    manifest = artifacts.write_bundle(spark, {"one": table, "none": table.where("false")}, place)
+    assert {r["name"]: r["rows"] for r in manifest.collect()} == {"one": 1500, "none": 0}
+    assert artifacts.read_bundle(spark, place)["one"].count() == 1500
+    model = train.train_model(table, FeatureSet("T", "linear", ["a"], ["flag"]), "y")
+    parts = reports.coefficient_report([model], spark, top=1)
+    artifacts.write_bundle(spark, parts, f"file://{tmp_path}/coefficients")
+    (row,) = artifacts.read_bundle(spark, f"file://{tmp_path}/coefficients")["summary"].collect()
+    assert row["n_total_features"] == 2 and row["top_features"][0]["feature"] == "a"
+    scored = model.score(table.where("split = 'valid'"))
+    record = reports.scenario_report(scored, train.PREDICTION, "y", model.details["features_used"])["summary"].first()
+    assert record["features_used"] == ["a", "flag"] and record["auroc"] == pytest.approx(model.details["metrics"]["valid"]["auroc"])
+
+
+def test_summary_has_intercept_and_counts(linear, spark):
+    (row,) = train.coefficient_summary([linear], spark, top=2).collect()
+    assert row["intercept"] == pytest.approx(train.intercept(linear)) and row["odds_at_zero"] == pytest.approx(np.exp(row["intercept"]))
+    assert (row["n_total_features"], row["n_continuous"], row["n_binary"], row["n_categories"]) == (3, 2, 1, 0)
+    assert [t["feature"] for t in row["top_features"]] == ["a", "flag"]
+
+
+def test_a_failing_fit_ends_the_run(spark):
+    plan = star_plan(spark, "/root/testdata/sf0.001")
+    with pytest.raises(ValueError, match="single class"):
+        train.train_by_version({"V1": plan.split("V1").where("y_inhosp_death = 1")}, STAR)
+
+
+def test_written_splits_equal_lazy_ones(spark, rows):
+    plan = star_plan(spark, "/root/testdata/sf0.001")
+    written = plan.written_splits()
+    assert set(written) == set(VERSIONS)
+    for version, table in written.items():
+        assert rows(table) == rows(plan.split(version)), version
+
+
+def test_runs_compare_by_scenario(spark):
+    from tidemark.operators.curves import scenario_comparison, scenario_table
+
+    plan = star_plan(spark, "/root/testdata/sf0.001")
+    splits = {"V1": plan.written_splits()["V1"]}
+    models = train.train_by_version(splits, STAR, ["linear"], params={"linear": {"maxIter": 5}})
+    scored = train.scored_runs(models, splits, "hadm_id", {})
+    got = scenario_comparison(scored, train.PREDICTION, STAR.label)
+    assert got.count() == 6 and {r["scenario"] for r in got.collect()} >= {"Recall_50%", "Top1000"}
+    alone = {r["scenario"]: r["alerts"] for r in scenario_table(scored, train.PREDICTION, STAR.label).collect()}
+    assert {r["scenario"]: r["alerts"] for r in got.collect()} == alone
+
+
 def test_catalog_fits_trees_without_a_cap_of_rounds(spark, monkeypatch):
     from tidemark.plans import catalog
 

@@ -16,7 +16,7 @@ from math import factorial
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.operators.train import FittedModel
 from tidemark.operators.trees import LOG_ODDS_PER_MARGIN, node_table
@@ -84,18 +84,26 @@ def seeded_sample(df: DataFrame, key: str, n: int = 2000, seed: int = 42) -> Dat
 def attributions(model: FittedModel, rows: DataFrame, key: str, scratch: str) -> DataFrame:
     """Long table ``key, feature, contribution`` with the bias as ``<bias>``.
 
-    ``scratch`` is a folder all executors' tables may live in; the fitted
-    classifier is saved there to read its nodes.
+    Every number and flag is listed, and of the categories those that a tree
+    asks for: the others contribute nothing.  ``scratch`` is a folder all
+    executors' tables may live in; the fitted classifier is saved there to read
+    its nodes.
     """
     if not hasattr(model.classifier, "treeWeights"):
         raise TypeError("attributions exist for tree models only")
-    spark = rows.sparkSession
+    spark, prep = rows.sparkSession, model.prep
     path = f"{scratch.rstrip('/')}/classifier"
     model.classifier.write().overwrite().save(path)
     leaves = leaf_paths(node_table(spark, path), list(model.classifier.treeWeights))
-    names = model.prep.names
+    n = len(prep.numbers)
+    # bounded by the number of tests in the trees
+    categories = sorted({int(j) for leaf in leaves for j in leaf["path"] if j >= n})
+    compact = {j: j for j in range(n)} | {j: n + i for i, j in enumerate(categories)}
+    leaves = [{"value": leaf["value"], "path": {compact[int(j)]: p for j, p in leaf["path"].items()}} for leaf in leaves]
+    names = [*prep.numbers, *_category_names(model, categories)]
     shared = spark.sparkContext.broadcast(leaves)
-    vectors = model.prep.apply(rows).select(key, F.array(*model.prep.vector_columns).alias("x"))
+    inputs = [F.col(c) for c in prep.number_columns] + [_is_category(model, j) for j in categories]
+    vectors = prep.apply(rows).select(key, F.array(*inputs).alias("x"))
 
     def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -110,6 +118,25 @@ def attributions(model: FittedModel, rows: DataFrame, key: str, scratch: str) ->
     return wide.select(key, F.inline(labelled).alias("feature", "contribution"))
 
 
+def _column_of(model: FittedModel, j: int) -> tuple[str, int]:
+    """Text column of a model input, and the category's place in it."""
+    column = max((c for c in model.prep.encoded if model.prep.first_input(c) <= j), key=model.prep.first_input)
+    return column, j - model.prep.first_input(column)
+
+
+def _is_category(model: FittedModel, j: int) -> Column:
+    column, place = _column_of(model, j)
+    return (F.col(model.prep.encoded[column]) == place).cast("double")
+
+
+def _category_names(model: FittedModel, inputs: list[int]) -> list[str]:
+    if not inputs:
+        return []
+    names = model.prep.input_names(model.prep.categories.sparkSession).where(F.col("input").isin(inputs))
+    known = {r["input"]: r["feature"] for r in names.collect()}
+    return [known[j] for j in inputs]
+
+
 def attribution_ranking(contributed: DataFrame) -> DataFrame:
     """Mean absolute contribution per input, largest first."""
     return (

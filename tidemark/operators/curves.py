@@ -242,6 +242,25 @@ def scenario_table(
     return summarize_scenarios(curve, scenario_columns(recalls, budgets, align), by)
 
 
+def scenario_comparison(
+    scored: DataFrame,
+    score: str,
+    label: str,
+    by: Sequence[str] = ("model", "version", "cohort"),
+    recalls: Sequence[float] = (0.4, 0.5, 0.6),
+    budgets: Sequence[int] = (1000, 3000),
+    align: str = "step_below",
+) -> DataFrame:
+    """Every scenario of every scored run, with the run's size, prevalence and ranking metrics.
+
+    ``by`` tells the runs apart, whose number is set by the caller.  One curve
+    serves them all.
+    """
+    curve = score_curve(scored, score, label, by, bounded_groups=True)
+    scenarios = summarize_scenarios(curve, scenario_columns(recalls, budgets, align), by)
+    return scenarios.join(F.broadcast(ranking_metrics(curve, by)), list(by))
+
+
 def generic_report(scored: DataFrame, score: str, label: str) -> DataFrame:
     """Ranking metrics with the summaries at 0.5 and at the best F1, one row each."""
     curve = score_curve(scored, score, label)
@@ -251,10 +270,14 @@ def generic_report(scored: DataFrame, score: str, label: str) -> DataFrame:
 
 
 def metrics_by_period(
-    scored: DataFrame, score: str, label: str, period: str, budget: int
+    scored: DataFrame, score: str, label: str, period: str, budget: int, few_periods: bool = False
 ) -> DataFrame:
-    """Prevalence, AUROC, AUPRC and PPV at a fixed alert budget per period."""
-    curve = score_curve(scored, score, label, [period])
+    """Prevalence, AUROC, AUPRC and PPV at a fixed alert budget per period.
+
+    ``few_periods`` states that their number does not grow with the data, as
+    that of years does not; the small tables of each period are then broadcast.
+    """
+    curve = score_curve(scored, score, label, [period], bounded_groups=few_periods)
     at_budget = summarize_scenarios(curve, {"budget": for_top_k(budget)}, [period])
     return ranking_metrics(curve, [period]).join(
         at_budget.select(period, "threshold", "ppv", "alerts"), period

@@ -1,34 +1,38 @@
-"""Preprocessing fitted on the train split, applied as column expressions.
+"""Preprocessing fitted on the train split, applied as column expressions and joins.
 
-Fitting reduces the train rows to a handful of constants per column; only
-these reach the driver.  Applying them adds no shuffle and no Python.
+Fitting reduces the train rows to a handful of constants per number and to a
+table of categories; only the constants reach the driver.  Categories are
+joined as rows and become one sparse vector for each text column, so their
+number is not bounded and none is named in a plan.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Mapping, Sequence
-from dataclasses import asdict, dataclass, field
+from dataclasses import dataclass, field, fields
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.ml import Transformer
+from pyspark.ml.feature import OneHotEncoder, VectorAssembler
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark.functions.columns import no_nan
-from tidemark.functions.prefix import quantiles_of_counts, value_counts
+from tidemark.functions.quantiles import exact_quantiles
+from tidemark.functions.ranges import numbered
+from tidemark.session import cut_lineage
 from tidemark.specs import FeatureSet
 
-# More categories than this would not be a categorical input; fitting refuses.
-MAX_CATEGORIES = 10_000
-
 
 def number(column: str) -> Column:
     return no_nan(F.col(column).cast("double"))
 
 
 def fit_medians(train: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``feature, median`` for columns that have any value; exact, interpolated."""
-    values = train.select(*[number(c).alias(c) for c in columns]).unpivot([], list(columns), "feature", "value")
-    counts = value_counts(values, "value", ["feature"])
-    return quantiles_of_counts(counts, "value", {"median": 0.5}, ["feature"], bounded_groups=True)
+    """``feature, median`` for columns that have any value; exact, interpolated.
+
+    ``train`` is read three times, so a long plan is best written before.
+    """
+    return exact_quantiles(train.select(*[number(c).alias(c) for c in columns]), columns, {"median": 0.5})
 
 
 def fit_modes(train: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -50,6 +54,16 @@ def fit_categories(train: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
+def indexed_categories(known: DataFrame) -> DataFrame:
+    """``known`` (feature, value) with the ``place`` of a value among its feature's, from 0 in ascending order.
+
+    Written once; numbers come from range partitions, not from one task for a feature.
+    """
+    placed = numbered(known, [F.col("feature"), F.col("value")], "_at")
+    first = F.broadcast(placed.groupBy("feature").agg(F.min("_at").alias("_first")))  # a row for each column
+    return placed.join(first, "feature").select("feature", "value", (F.col("_at") - F.col("_first")).alias("place"))
+
+
 def fit_scales(train: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``feature, mean, scale`` with population deviation, 1 where it is 0."""
     stats = [F.avg(c).alias(f"{c}__mean") for c in columns] + [F.stddev_pop(c).alias(f"{c}__sd") for c in columns]
@@ -114,7 +128,11 @@ def one_hot(df: DataFrame, known: DataFrame, columns: Sequence[str], keep: Seque
 
 @dataclass
 class Preprocessor:
-    """Fitted constants.  ``inputs`` are raw columns, ``names`` model inputs."""
+    """Fitted constants, and the table of categories (feature, value, place).
+
+    The model's inputs are the numbers, the flags, and after them one input for
+    each category of each text column.
+    """
 
     family: str
     continuous: list[str]
@@ -123,58 +141,97 @@ class Preprocessor:
     medians: dict[str, float]
     scales: dict[str, tuple[float, float]] = field(default_factory=dict)
     modes: dict[str, str] = field(default_factory=dict)
-    categories: dict[str, list[str]] = field(default_factory=dict)
+    #: Number of categories of each text column.
+    sizes: dict[str, int] = field(default_factory=dict)
+    categories: DataFrame | None = field(default=None, compare=False, repr=False)
 
     @property
     def inputs(self) -> list[str]:
         return [*self.continuous, *self.binary, *self.categorical]
 
     @property
-    def names(self) -> list[str]:
-        hot = [f"{c}_{value}" for c in self.categorical for value in self.categories[c]]
-        return [*self.continuous, *self.binary, *hot]
+    def numbers(self) -> list[str]:
+        return [*self.continuous, *self.binary]
 
     @property
-    def kinds(self) -> list[str]:
-        hot = sum(len(self.categories[c]) for c in self.categorical)
-        return ["cont"] * len(self.continuous) + ["bin"] * len(self.binary) + ["cat"] * hot
+    def number_columns(self) -> list[str]:
+        """Neutral names of the preprocessed numbers and flags."""
+        return [f"_x{i}" for i in range(len(self.numbers))]
 
     @property
-    def vector_columns(self) -> list[str]:
-        """Neutral column names, free of characters that categories may hold."""
-        return [f"_x{i}" for i in range(len(self.names))]
+    def encoded(self) -> dict[str, str]:
+        """Index column of each text column that has categories."""
+        return {c: f"_k{i}" for i, c in enumerate(self.categorical) if self.sizes.get(c)}
+
+    def first_input(self, column: str) -> int:
+        """Place of a text column's first category among the inputs."""
+        before = self.categorical[: self.categorical.index(column)]
+        return len(self.numbers) + sum(self.sizes.get(c, 0) for c in before)
+
+    def input_names(self, spark: SparkSession) -> DataFrame:
+        """``input, feature, type`` of every model input; categories as ``column_value``."""
+        kinds = ["cont"] * len(self.continuous) + ["bin"] * len(self.binary)
+        rows = list(zip(range(len(kinds)), self.numbers, kinds))
+        names = spark.createDataFrame(rows, "input long, feature string, type string")
+        for c in self.encoded:
+            own = self.categories.where(F.col("feature") == c)
+            names = names.union(
+                own.select(F.col("place") + self.first_input(c), F.concat(F.lit(f"{c}_"), "value"), F.lit("cat"))
+            )
+        return names
 
     def expressions(self) -> list[Column]:
+        """The preprocessed numbers and flags."""
         out: list[Column] = []
         for c in self.continuous:
             filled = F.coalesce(number(c), F.lit(self.medians[c]))
             mean, scale = self.scales.get(c, (0.0, 1.0))
             out.append((filled - mean) / scale if c in self.scales else filled)
-        out += [F.coalesce(number(c), F.lit(0.0)) for c in self.binary]
-        for c in self.categorical:
+        return out + [F.coalesce(number(c), F.lit(0.0)) for c in self.binary]
+
+    def apply(self, df: DataFrame) -> DataFrame:
+        """Numbers added as doubles, and each text column's place among its categories; raw columns stay.
+
+        A null text takes the mode; an unseen one the place after the last,
+        which stands for no category.  A category held by many rows is left to
+        adaptive execution, which splits it where the join is not broadcast.
+        """
+        out = df.withColumns(dict(zip(self.number_columns, self.expressions())))
+        for c, index in self.encoded.items():
+            known = self.categories.where(F.col("feature") == c).select(
+                F.col("value").alias(f"{index}_value"), F.col("place").cast("double").alias(index)
+            )
             filled = F.coalesce(F.col(c).cast("string"), F.lit(self.modes[c]))
-            out += [(filled == value).cast("double") for value in self.categories[c]]
+            out = out.join(known, filled == F.col(f"{index}_value"), "left").drop(f"{index}_value")
+            out = out.withColumn(index, F.coalesce(index, F.lit(float(self.sizes[c]))))
         return out
 
-    def apply(self, df: DataFrame) -> DataFrame:
-        """Input columns of the model added as doubles; raw columns stay."""
-        return df.withColumns(dict(zip(self.vector_columns, self.expressions())))
+    def stages(self, spark: SparkSession) -> list[Transformer]:
+        """What makes one vector of what ``apply`` adds: sparse ones for text columns, then all in order."""
+        made, stages = [f"{index}_vector" for index in self.encoded.values()], []
+        if made:
+            last = spark.createDataFrame([tuple(float(self.sizes[c] - 1) for c in self.encoded)], list(self.encoded.values()))
+            # the place kept for unseen values is the last one, and that is dropped
+            encoder = OneHotEncoder(inputCols=last.columns, outputCols=made, handleInvalid="keep", dropLast=True)
+            stages.append(encoder.fit(last))
+        return [*stages, VectorAssembler(inputCols=[*self.number_columns, *made], outputCol="features", handleInvalid="error")]
 
     def to_json(self) -> str:
-        return json.dumps(asdict(self))
+        return json.dumps({f.name: getattr(self, f.name) for f in fields(self) if f.name != "categories"})
 
     @staticmethod
-    def from_json(text: str) -> Preprocessor:
+    def from_json(text: str, categories: DataFrame | None = None) -> Preprocessor:
         raw = json.loads(text)
         raw["scales"] = {c: tuple(pair) for c, pair in raw["scales"].items()}
-        return Preprocessor(**raw)
+        return Preprocessor(**raw, categories=categories)
 
 
 def fit_preprocessor(train: DataFrame, features: FeatureSet) -> Preprocessor:
     """Linear: median and scaling for numbers, 0 for flags.  Tree: median only.
 
-    Both: mode and one column per category.  Medians, modes and categories are
-    exact; scaling sees the imputed numbers.
+    Both: mode and one input per category.  Medians, modes and categories are
+    exact; scaling sees the imputed numbers.  A text column without any value
+    has no category and makes no input.
     """
     numbers, flags, texts = list(features.continuous), list(features.binary), list(features.categorical)
     medians = {r["feature"]: r["median"] for r in fit_medians(train, numbers).collect()} if numbers else {}
@@ -187,11 +244,7 @@ def fit_preprocessor(train: DataFrame, features: FeatureSet) -> Preprocessor:
         fitted.scales = {r["feature"]: (r["mean"], r["scale"]) for r in fit_scales(filled, numbers).collect()}
     if texts:
         fitted.modes = {r["feature"]: r["mode"] for r in fit_modes(train, texts).collect()}
-        seen: dict[str, list[str]] = {c: [] for c in texts}
-        rows = fit_categories(train, texts).limit(MAX_CATEGORIES + 1).collect()
-        if len(rows) > MAX_CATEGORIES:
-            raise ValueError(f"more than {MAX_CATEGORIES} categories in {texts}")
-        for row in rows:
-            seen[row["feature"]].append(row["value"])
-        fitted.categories = {c: sorted(values) for c, values in seen.items()}
+        fitted.categories = cut_lineage(indexed_categories(fit_categories(train, texts)))
+        counts = fitted.categories.groupBy("feature").agg(F.count(F.lit(1)).alias("n")).collect()
+        fitted.sizes = {r["feature"]: r["n"] for r in counts}
     return fitted

@@ -4,19 +4,20 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.util import inheritable_thread_target
 
 from tidemark.operators.assemble import require_columns, select_candidates, split_rows
 from tidemark.operators.checks import assert_vectors_finite, union_all
 from tidemark.operators.curves import ranking_metrics, score_curve
 from tidemark.operators.prep import Preprocessor, drop_all_missing, fit_preprocessor
-from tidemark.operators.trees import best_size, node_table, precision_by_size
+from tidemark.operators.trees import best_size, first_trees, node_table, precision_by_size
 from tidemark.session import cut_lineage, shared_folder
 from tidemark.specs import FAMILIES, VERSIONS, FeatureSet, Study, feature_set
 
@@ -25,6 +26,8 @@ PREDICTION = "y_pred_proba"
 MAX_TREES, PATIENCE = 1000, 50
 # Rounds of the first fit; they double until the patience ends the choice.
 FIRST_TREES = 100
+# Fits of one run that go on side by side.
+FITS_AT_ONCE = 6
 
 
 @dataclass
@@ -51,11 +54,7 @@ class FittedModel:
         return scored.select(*df.columns, vector_to_array("probability")[1].alias(PREDICTION))
 
 
-def _assembler(prep: Preprocessor) -> VectorAssembler:
-    return VectorAssembler(inputCols=prep.vector_columns, outputCol="features", handleInvalid="error")
-
-
-def fit_linear(prepared: DataFrame, n: int, n_pos: int, params: Mapping | None = None) -> LogisticRegression:
+def fit_linear(prepared: DataFrame, n: int, n_pos: int, params: Mapping | None = None) -> LogisticRegressionModel:
     """L2 logistic regression with balanced classes and unit inverse strength.
 
     MLlib averages the weighted loss where the usual formulation sums it, so
@@ -74,18 +73,23 @@ def fit_linear(prepared: DataFrame, n: int, n_pos: int, params: Mapping | None =
     )
     settings.update(params or {})
     weight = F.when(F.col("_y") == 1, n / (2.0 * n_pos)).otherwise(n / (2.0 * (n - n_pos)))
-    return LogisticRegression(**settings).fit(prepared.withColumn("_w", weight))
+    fitted = LogisticRegression(**settings).fit(prepared.withColumn("_w", weight))
+    # as fitted, a model keeps the session in its training summary, which tasks cannot carry once the session observes metrics
+    place = f"{shared_folder(prepared.sparkSession)}/linear-{uuid.uuid4().hex}"
+    fitted.write().save(place)
+    return LogisticRegressionModel.load(place)
 
 
 def fit_tree(vectors: DataFrame, n: int, n_pos: int, params: Mapping | None = None):
-    """Boosted trees with weighted positives, and their average precision on the validation rows.
+    """Boosted trees with weighted positives, as many as the validation rows ask for.
 
     MLlib can stop by the loss only, and at the first round that is no better.
     So every number of trees is judged on the validation rows, and the best one
     is kept that ``patience`` further rounds do not beat.  Rounds are seeded one
     by one, so a longer fit begins with the trees of a shorter one: fits of
     twice as many rounds each, ``maxIter`` at most, follow until the patience
-    ends the choice, which is that of ``maxIter`` rounds at once.
+    ends the choice, which is that of ``maxIter`` rounds at once.  The trees
+    beyond the best number are cut off the saved model; nothing is fitted again.
     """
     settings = dict(
         featuresCol="features",
@@ -115,9 +119,7 @@ def fit_tree(vectors: DataFrame, n: int, n_pos: int, params: Mapping | None = No
         if rounds == most or size + patience <= len(precision):
             break
         rounds = min(most, 2 * rounds)
-    if size < fitted.getNumTrees:
-        fitted = GBTClassifier(**settings | {"maxIter": size}).fit(train)
-    return fitted, precision[size - 1]
+    return first_trees(fitted, place, size) if size < fitted.getNumTrees else fitted
 
 
 def train_model(
@@ -169,13 +171,15 @@ def train_model(
     prep = fit_preprocessor(train, used)
     prepared = prep.apply(raw).withColumn("_y", F.col(label).cast("double"))
     if check_finite:
-        assert_vectors_finite(split_rows(prepared, "train"), prep.vector_columns, train, used.columns)
-    assembler = _assembler(prep)
-    vectors = assembler.transform(prepared).select("_y", "split", "features")
+        assert_vectors_finite(split_rows(prepared, "train"), prep.number_columns, train, used.columns)
+    stages = prep.stages(df.sparkSession)
+    # without the encoder's attributes trees treat all inputs as numbers, and need no name for each category
+    features_only = F.col("features").alias("features", metadata={})
+    vectors = PipelineModel(stages).transform(prepared).select("_y", "split", features_only)
     if features.family == "linear":
         fitted = fit_linear(split_rows(vectors, "train"), n, n_pos, params)
     else:
-        fitted, best_score = fit_tree(vectors, n, n_pos, params)
+        fitted = fit_tree(vectors, n, n_pos, params)
 
     details = {
         "version": features.version,
@@ -196,10 +200,12 @@ def train_model(
     if features.family == "tree":
         details["positive_weight"] = (n - n_pos) / max(1, n_pos)
         details["best_iteration"] = fitted.getNumTrees
-        details["best_score"] = best_score
-    model = FittedModel(prep, PipelineModel([assembler, fitted]), label, details)
+    model = FittedModel(prep, PipelineModel([*stages, fitted]), label, details)
     metrics = training_metrics(model, raw).collect()
     details["metrics"] = {row["split"]: row.asDict() for row in metrics}
+    if features.family == "tree":
+        # sizes are compared on binned scores; what is reported is exact
+        details["best_score"] = details["metrics"]["valid"]["auprc"]
     return model
 
 
@@ -225,14 +231,24 @@ def train_by_version(
     study: Study,
     families: Sequence[str] = FAMILIES,
     params: Mapping[str, Mapping] | None = None,
+    at_once: int = FITS_AT_ONCE,
 ) -> dict[tuple[str, str], FittedModel]:
-    """Every version with a split table, in each family."""
-    runs = {}
-    for version in VERSIONS:
-        if version not in splits:
-            continue
-        for family in families:
-            runs[version, family] = train_model(
+    """Every version with a split table, in each family, several fits at once.
+
+    A fit is a long row of short jobs, so fits side by side fill the cores that
+    each leaves idle.  Each has a scheduler pool of its own, which shares the
+    cores fairly where the session's scheduler is fair.  Each split table is read
+    by several fits and is best written before (``FeaturePlan.written_splits``).
+    A fit that fails ends the run with its error.
+    """
+    runs = [(v, f) for f in sorted(families, reverse=True) for v in reversed(VERSIONS) if v in splits]
+
+    def fit(run: tuple[str, str]) -> FittedModel:
+        version, family = run
+        spark = splits[version].sparkSession
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"fit-{version}-{family}")
+        try:
+            return train_model(
                 splits[version],
                 feature_set(study, version, family),
                 study.label,
@@ -240,23 +256,71 @@ def train_by_version(
                 check_finite=version == "V6",
                 params=(params or {}).get(family),
             )
-    return runs
+        finally:
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", None)
+
+    with ThreadPoolExecutor(max(1, at_once)) as pool:
+        # trees take longest and are started first
+        started = {run: pool.submit(inheritable_thread_target(fit), run) for run in runs}
+        try:
+            done = {run: future.result() for run, future in started.items()}
+        except BaseException:
+            pool.shutdown(cancel_futures=True)
+            raise
+    return {(v, f): done[v, f] for v in VERSIONS if v in splits for f in families}
+
+
+def scored_runs(
+    models: Mapping[tuple[str, str], FittedModel], splits: Mapping[str, DataFrame], key: str, cohorts: Mapping[str, str]
+) -> DataFrame:
+    """``model, version, cohort, key``, label and score of every run on the validation rows of its version.
+
+    ``cohorts`` names the cohort of a version where it is not all entities.
+    """
+    parts = []
+    for (version, family), model in models.items():
+        scored = model.score(split_rows(splits[version], "valid"))
+        tags = {"model": family, "version": version, "cohort": cohorts.get(version, "all")}
+        parts.append(scored.select(*[F.lit(v).alias(c) for c, v in tags.items()], key, model.label, PREDICTION))
+    return union_all(parts)
 
 
 def coefficients(model: FittedModel, spark: SparkSession) -> DataFrame:
     """``feature, type, coef, odds_ratio, abs_coef``, largest first."""
     if not hasattr(model.classifier, "coefficients"):
         raise TypeError("coefficients exist for linear models only")
-    values = [float(v) for v in model.classifier.coefficients]
-    names, kinds = model.prep.names, model.prep.kinds
-    if len(names) != len(values):
-        raise ValueError(f"{len(names)} names for {len(values)} coefficients")
-    rows = spark.createDataFrame(list(zip(names, kinds, values)), "feature string, type string, coef double")
+    values = [(i, float(v)) for i, v in enumerate(model.classifier.coefficients)]
+    named = len(model.prep.numbers) + sum(model.prep.sizes.values())
+    if named != len(values):
+        raise ValueError(f"{named} names for {len(values)} coefficients")
+    rows = model.prep.input_names(spark).join(spark.createDataFrame(values, "input long, coef double"), "input")
     return rows.select(
-        "*", F.exp("coef").alias("odds_ratio"), F.abs("coef").alias("abs_coef")
+        "feature", "type", "coef", F.exp("coef").alias("odds_ratio"), F.abs("coef").alias("abs_coef")
     ).orderBy(F.desc("abs_coef"), "feature")
 
 
+def coefficient_summary(models: Sequence[FittedModel], spark: SparkSession, top: int = 10) -> DataFrame:
+    """One row per linear model: intercept, its odds, number of inputs by kind, and the ``top`` largest coefficients."""
+    parts = []
+    for model in models:
+        table = coefficients(model, spark)
+        entry = F.struct("abs_coef", "feature", "type", "coef", "odds_ratio")
+        largest = F.slice(F.sort_array(F.collect_list(entry), asc=False), 1, top)
+        kinds = [F.count_if(F.col("type") == k).alias(f"n_{name}") for k, name in (("cont", "continuous"), ("bin", "binary"), ("cat", "categories"))]
+        named = table.orderBy(F.desc("abs_coef"), "feature").limit(top).agg(largest.alias("top_features"))
+        counts = table.agg(F.count(F.lit(1)).alias("n_total_features"), *kinds)
+        parts.append(
+            counts.select(
+                F.lit(model.details["version"]).alias("version"),
+                F.lit(intercept(model)).alias("intercept"),
+                F.exp(F.lit(intercept(model))).alias("odds_at_zero"),
+                "*",
+                named.scalar().alias("top_features"),
+            )
+        )
+    return union_all(parts)
+
+
 def linear_probability(df: DataFrame, weights: Mapping[str, float], bias: float) -> DataFrame:
     """Probability of class 1 from known coefficients, as one expression."""
     total = sum((F.col(c) * w for c, w in weights.items()), F.lit(bias))

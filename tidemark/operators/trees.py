@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.classification import GBTClassificationModel
+from pyspark.ml.feature import VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -35,6 +38,29 @@ def node_table(spark: SparkSession, model_path: str) -> pd.DataFrame:
     return data.toPandas()
 
 
+def first_trees(model: GBTClassificationModel, saved: str, size: int) -> GBTClassificationModel:
+    """The first ``size`` trees of a model that is saved under ``saved``, written beside it and loaded.
+
+    Later trees only add to what the earlier ones say, so these are what a fit
+    of ``size`` rounds gives.
+    """
+    spark = SparkSession.active()
+    place = f"{saved}-first-{size}"
+    (line,) = spark.read.text(f"{saved}/metadata").collect()
+    record = json.loads(line["value"])
+    record["numTrees"] = size
+    record["paramMap"] = {**record.get("paramMap", {}), "maxIter": size}
+    spark.createDataFrame([(json.dumps(record),)], "value string").coalesce(1).write.text(f"{place}/metadata")
+    for part in ("data", "treesMetadata"):
+        rows = spark.read.parquet(f"{saved}/{part}")
+        # the number of the tree comes first in either table
+        rows.where(F.col(rows.columns[0]) < size).write.parquet(f"{place}/{part}")
+    cut = GBTClassificationModel.load(place)
+    if cut.getNumTrees != size or cut.numFeatures != model.numFeatures:
+        raise ValueError(f"{cut.getNumTrees} trees of {cut.numFeatures} inputs were loaded, not {size} of {model.numFeatures}")
+    return cut
+
+
 def tree_values(nodes: pd.DataFrame, x: np.ndarray) -> np.ndarray:
     """Prediction of every tree (column) for every row of ``x``."""
     out = []
@@ -64,8 +90,12 @@ def precision_by_size(
     """Average precision on ``valid`` of the first 1, 2, ... trees, in one pass.
 
     Every task counts rows by size and score bin; what is summed and collected
-    has a size set by the number of trees.
+    has a size set by the number of trees.  Of the inputs only those that a tree
+    asks for leave the sparse vectors.
     """
+    inner = nodes["left"] >= 0
+    asked = sorted(set(nodes.loc[inner, "feature"].astype(int))) or [0]
+    nodes = nodes.assign(feature=nodes["feature"].where(inner, asked[0]).astype(int).map({f: i for i, f in enumerate(asked)}))
     shared = valid.sparkSession.sparkContext.broadcast((nodes, np.array(weights)))
     size = len(weights)
 
@@ -83,7 +113,8 @@ def precision_by_size(
         k, b = np.nonzero(counts[0])
         yield pd.DataFrame({"k": k, "bin": b, "n": counts[0][k, b], "pos": counts[1][k, b]})
 
-    rows = valid.select(F.col(label).alias("y"), vector_to_array(features).alias("x"))
+    sliced = VectorSlicer(inputCol=features, outputCol="_asked", indices=asked).transform(valid)
+    rows = sliced.select(F.col(label).alias("y"), vector_to_array("_asked").alias("x"))
     summed = (
         rows.mapInPandas(count, "k long, bin long, n long, pos long")
         .groupBy("k", "bin")

@@ -15,12 +15,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tidemark.functions import columns as rules
 from tidemark.functions.prefix import global_rank
 from tidemark.operators import assemble, attributions, checks, cohort, curves, errors, events, flags, prep, train
-from tidemark.plans import oracle as o
+from tidemark.plans import oracle as o, reports
 from tidemark.plans.features import FeaturePlan
 from tidemark.plans.star import EVENT_VITALS, EVENT_WINDOW, STAR, star_plan
 from tidemark.session import shared_folder
 from tidemark.sources import artifacts, tables
-from tidemark.specs import VERSIONS, Codes, feature_set
+from tidemark.specs import Codes, FeatureSet, feature_set
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -525,10 +525,10 @@ def null_rates(plan):
     "missing_ranking",
     "SELECT feature, round(missing_rate, 6) AS missing_rate FROM ("
     + " UNION ALL ".join(f"SELECT '{c}' AS feature, avg(CAST({c} IS NULL AS INT)) AS missing_rate FROM feat2" for c in NUMBERS)
-    + ") q ORDER BY missing_rate DESC, feature LIMIT 5",
+    + ") q ORDER BY missing_rate DESC, feature LIMIT 20",
 )
 def missing_ranking(plan):
-    return rounded(checks.missing_ranking(plan.features("V2"), NUMBERS, top=5), ["missing_rate"])
+    return rounded(checks.missing_ranking(plan.features("V2"), NUMBERS), ["missing_rate"])
 
 
 @query(
@@ -820,7 +820,8 @@ def train_rows(plan, version: str = "V2") -> DataFrame:
     ),
 )
 def impute_median(plan):
-    return rounded(prep.fit_medians(train_rows(plan), NUMBERS), ["median"])
+    rows = tables.materialize(train_rows(plan).select(*NUMBERS), scratch(spark_of(plan)))
+    return rounded(prep.fit_medians(rows, NUMBERS), ["median"])
 
 
 @query("impute_constant_binary", "SELECT hadm_id, " + o.comma(f"CAST(coalesce({n}, 0) AS DOUBLE) AS {n}" for n in [*o.MEDS, *o.PROCS]) + " FROM feat3")
@@ -884,7 +885,9 @@ def one_hot(plan):
 )
 def drop_all_missing(plan):
     names = [*NUMBERS, *o.PROCS]
-    return prep.observed_counts(train_rows(plan, "V6"), names).withColumn("kept", F.col("n_observed") > 0)
+    rows = tables.materialize(train_rows(plan, "V6").select(*names), scratch(spark_of(plan)))
+    kept, _ = prep.drop_all_missing(rows, names)
+    return prep.observed_counts(rows, names).withColumn("kept", F.col("feature").isin(kept))
 
 
 def preprocessed(plan, family: str) -> DataFrame:
@@ -893,7 +896,7 @@ def preprocessed(plan, family: str) -> DataFrame:
     )
     chosen = feature_set(STAR, "V2", family)
     fitted = prep.fit_preprocessor(assemble.split_rows(split, "train"), chosen)
-    named = [F.round(c, 5).alias(name) for c, name in zip(fitted.expressions(), fitted.names)]
+    named = [F.round(c, 5).alias(name) for c, name in zip(fitted.expressions(), fitted.numbers)]
     return split.select(KEY, "split", *named)
 
 
@@ -1076,7 +1079,8 @@ BINARY_SQL = _per_feature(
 
 @query("numeric_summary_by_group", NUMERIC_SQL)
 def numeric_summary(plan):
-    return rounded(errors.numeric_summary(graded(plan), NUMBERS), ["missing_rate", "mean", "median", "p25", "p75"])
+    rows = tables.materialize(graded(plan).select("error_group", *NUMBERS), scratch(spark_of(plan)))
+    return rounded(errors.numeric_summary(rows, NUMBERS), ["missing_rate", "mean", "median", "p25", "p75"])
 
 
 @query("binary_rates_by_group", BINARY_SQL)
@@ -1111,26 +1115,86 @@ def error_group_contrast(plan):
     return rounded(both, ["diff_mean", "diff_median", "diff_rate_1"], 4)
 
 
+MODELS = {"price": "y_pred_proba", "inverse": "1 - y_pred_proba"}
+COHORTS = {"with_stay": "EXISTS", "without_stay": "NOT EXISTS"}
+RUNS = " UNION ALL ".join(
+    f"SELECT '{model}' AS model, '{name}' AS cohort, {expr} AS s, y FROM scored WHERE {keep} (SELECT 1 FROM stay t WHERE t.hadm_id = scored.hadm_id)"
+    for model, expr in MODELS.items()
+    for name, keep in COHORTS.items()
+)
+RUN_POINTS = (
+    "SELECT *, 2 * pr * rc / (pr + rc + 1e-12) AS f1 FROM (SELECT *, tp::DOUBLE / alerts AS pr, tp::DOUBLE / p AS rc, "
+    "lag(s) OVER (PARTITION BY model, cohort ORDER BY s) AS lower_s FROM (SELECT model, cohort, s, pos, n, sum(pos) OVER w AS tp, sum(n) OVER w AS alerts, "
+    "sum(pos) OVER (PARTITION BY model, cohort) AS p, sum(n) OVER (PARTITION BY model, cohort) AS total "
+    f"FROM (SELECT model, cohort, s, sum(y) AS pos, count(*) AS n FROM ({RUNS}) r GROUP BY 1, 2, 3) a WINDOW w AS (PARTITION BY model, cohort ORDER BY s DESC)) b) c"
+)
+
+
+def _run_choices() -> str:
+    rules = [("F1_best", "first(lower_s ORDER BY f1 DESC, s) FILTER (lower_s IS NOT NULL)")]
+    rules += [(f"Recall_{int(r * 100)}%", f"max(lower_s) FILTER (rc >= {r})") for r in (0.4, 0.5, 0.6)]
+    rules += [(f"Top{k}", f"CASE WHEN max(total) <= {k} THEN 0.0 ELSE max(s) FILTER (alerts >= {k}) END") for k in (1000, 3000)]
+    return " UNION ALL ".join(
+        f"SELECT model, cohort, '{name}' AS scenario, {rule} AS threshold FROM pts GROUP BY model, cohort" for name, rule in rules
+    )
+
+
 @query(
     "model_comparison",
-    " UNION ALL ".join(
-        f"SELECT '{model}' AS model, 'V0' AS version, '{name}' AS cohort, CAST(max(total) AS BIGINT) AS n, round(max(p)::DOUBLE / max(total), 6) AS prevalence, "
-        "round(sum((n - pos) * (tp - pos / 2.0)) / (max(p)::DOUBLE * (max(total) - max(p))), 6) AS auroc, round(sum(pos * tp::DOUBLE / alerts) / max(p), 6) AS auprc "
-        "FROM (SELECT *, sum(pos) OVER (ORDER BY s DESC) AS tp, sum(n) OVER (ORDER BY s DESC) AS alerts, sum(pos) OVER () AS p, sum(n) OVER () AS total "
-        f"FROM (SELECT {expr} AS s, sum(y) AS pos, count(*) AS n FROM scored WHERE {keep} (SELECT 1 FROM stay t WHERE t.hadm_id = scored.hadm_id) GROUP BY 1) a) b"
-        for model, expr in (("price", "y_pred_proba"), ("inverse", "1 - y_pred_proba"))
-        for name, keep in (("with_stay", "EXISTS"), ("without_stay", "NOT EXISTS"))
-    ),
+    f"SELECT c.model, 'V0' AS version, c.cohort, c.* EXCLUDE (model, cohort), m.n, m.prevalence, m.auroc, m.auprc FROM (WITH pts AS ({RUN_POINTS}), chosen_runs AS ({_run_choices()}) "
+    + o.confusion(
+        "SELECT k.model, k.cohort, scenario, threshold, sum(CASE WHEN s >= threshold THEN pos ELSE 0 END) AS tp, sum(CASE WHEN s >= threshold THEN n - pos ELSE 0 END) AS fp, "
+        "sum(CASE WHEN s < threshold THEN pos ELSE 0 END) AS fn, sum(CASE WHEN s < threshold THEN n - pos ELSE 0 END) AS tn "
+        "FROM chosen_runs k JOIN pts ON pts.model = k.model AND pts.cohort = k.cohort GROUP BY 1, 2, 3, 4",
+        "model, cohort, scenario, threshold",
+    )
+    + ") c JOIN (SELECT model, cohort, CAST(max(total) AS BIGINT) AS n, round(max(p)::DOUBLE / max(total), 6) AS prevalence, "
+    "round(sum((n - pos) * (tp - pos / 2.0)) / (max(p)::DOUBLE * (max(total) - max(p))), 6) AS auroc, round(sum(pos * pr) / max(p), 6) AS auprc "
+    f"FROM ({RUN_POINTS}) q GROUP BY 1, 2) m ON m.model = c.model AND m.cohort = c.cohort",
 )
 def model_comparison(plan):
-    scored = plan.tables["scored"]
-    inverse = scored.withColumn(SCORE, 1 - F.col(SCORE))
-    reports = {}
-    for model, rows in (("price", scored), ("inverse", inverse)):
+    """Two scores in two cohorts: every scenario beside the ranking metrics."""
+    scored = plan.tables["scored"].select(KEY, SCORE, LABEL)
+    runs = []
+    for model, rows in (("price", scored), ("inverse", scored.withColumn(SCORE, 1 - F.col(SCORE)))):
         for name, has in (("with_stay", True), ("without_stay", False)):
-            members = cohort.by_stay(rows, plan.tables["stays"], KEY, has_stay=has)
-            reports[model, "V0", name] = curves.ranking_metrics(curves.score_curve(members, SCORE, LABEL))
-    return rounded(train.compare_models(reports), ["prevalence", "auroc", "auprc"])
+            runs.append(((model, "V0", name), cohort.by_stay(rows, plan.tables["stays"], KEY, has_stay=has)))
+    together = train.compare_models(dict(runs))
+    compared = curves.scenario_comparison(together, SCORE, LABEL)
+    return rounded(compared, ["ppv", "recall", "specificity", "f1", "prevalence", "auroc", "auprc"])
+
+
+@query(
+    "scenario_report",
+    "SELECT CAST(max(total) AS BIGINT) AS n_valid, round(max(p)::DOUBLE / max(total), 6) AS prevalence_valid, "
+    "round(sum((n - pos) * (tp - pos / 2.0)) / (max(p)::DOUBLE * (max(total) - max(p))), 6) AS auroc, round(sum(pos * pr) / max(p), 6) AS auprc, "
+    "CAST(2 AS BIGINT) AS n_features_used, 'charlson_min,item1_first' AS features_used, CAST(6 AS BIGINT) AS n_scenarios FROM points",
+)
+def scenario_report(plan):
+    """The record of an evaluation, from its written bundle."""
+    spark, place = spark_of(plan), scratch(spark_of(plan))
+    parts = reports.scenario_report(plan.tables["scored"], SCORE, LABEL, ["charlson_min", "item1_first"])
+    manifest = artifacts.write_bundle(spark, parts, place)
+    summary = artifacts.read_bundle(spark, place)["summary"]
+    number = manifest.where("name = 'scenarios'").select(F.col("rows"))
+    joined = summary.withColumn("features_used", F.array_join("features_used", ",")).withColumn("n_scenarios", number.scalar())
+    return rounded(joined, ["prevalence_valid", "auroc", "auprc"])
+
+
+@query(
+    "error_report",
+    "SELECT 'cohort_counts' AS name, CAST(1 AS BIGINT) AS rows UNION ALL SELECT 'top_false_positives', least(200, count(*) FILTER (error_group = 'FP')) FROM graded "
+    "UNION ALL SELECT 'all_false_negatives', count(*) FILTER (error_group = 'FN') FROM graded "
+    f"UNION ALL SELECT 'numeric_summary', count(DISTINCT error_group) * {len(NUMBERS)} FROM graded "
+    f"UNION ALL SELECT 'binary_rates', count(DISTINCT error_group) * {len(FLAGS)} FROM graded "
+    f"UNION ALL SELECT 'contrasts', {2 * len(NUMBERS) + 2 * len(FLAGS)}",
+)
+def error_report(plan):
+    """The error analysis as one bundle; its manifest."""
+    spark = spark_of(plan)
+    rows = tables.materialize(graded(plan), scratch(spark))
+    parts = reports.error_report(rows, LABEL, "yhat", SCORE, KEY, NUMBERS, FLAGS)
+    return artifacts.write_bundle(spark, parts, scratch(spark)).select("name", "rows")
 
 
 @query(
@@ -1146,17 +1210,11 @@ def model_comparison(plan):
 def metrics_by_period(plan):
     years = plan.tables["patients"].select("subject_id", "anchor_year")
     rows = cohort.join_subject(plan.tables["scored"], years, "subject_id")
-    report = curves.metrics_by_period(rows, SCORE, LABEL, "anchor_year", 100)
+    report = curves.metrics_by_period(rows, SCORE, LABEL, "anchor_year", 100, few_periods=True)
     return rounded(report, ["prevalence", "auroc", "auprc", "ppv"])
 
 
-# --- model runs: rows only ---------------------------------------------------
-
-
-def fitted(spark: SparkSession, folder: str, version: str, family: str) -> train.FittedModel:
-    """A fit on the whole split table."""
-    runs = train.train_by_version({version: star_plan(spark, folder).split(version)}, STAR, [family])
-    return runs[version, family]
+# --- model runs ----------------------------------------------------------------
 
 
 def model_query(name: str, body: str | None = None):
@@ -1171,34 +1229,135 @@ def model_query(name: str, body: str | None = None):
     return register
 
 
-@model_query("train_logistic")
+def kept_model(spark: SparkSession, folder: str, name: str, fit: Callable[[], train.FittedModel]) -> train.FittedModel:
+    """A model saved below the shared folder by this application, or fitted and saved there now."""
+    application = spark.sparkContext.applicationId
+    place = f"{shared_folder(spark)}/fits-{application}/{uuid.uuid5(uuid.NAMESPACE_URL, folder).hex}-{name}"
+    try:
+        return artifacts.load_model(spark, place)
+    except FileNotFoundError:
+        model = fit()
+        artifacts.save_model(spark, model, place)
+        return model
+
+
+def fitted(spark: SparkSession, folder: str, version: str, family: str) -> train.FittedModel:
+    """A fit on the whole split table of a version."""
+
+    def fit() -> train.FittedModel:
+        split = tables.materialize(star_plan(spark, folder).split(version), scratch(spark))
+        return train.train_by_version({version: split}, STAR, [family])[version, family]
+
+    return kept_model(spark, folder, f"{version}-{family}", fit)
+
+
+# Fits whose result has a closed form: market segments as flags, the others being the baseline.
+SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD")
+SEGMENT_FLAGS = [f"is_{s.lower()}" for s in SEGMENTS]
+TREE_FLAG = SEGMENT_FLAGS[0]
+EXACT_LINEAR = {"regParam": 0.0, "tol": 1e-13, "maxIter": 1000}
+EXACT_TREE = {"maxIter": 1, "maxDepth": 1, "subsamplingRate": 1.0, "featureSubsetStrategy": "all"}
+
+
+def segment_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """The V1 split with the flags of its subjects' segments."""
+    plan = star_plan(spark, folder)
+    people = plan.tables["patients"].select(
+        "subject_id", *[(F.col("insurance") == s).cast("int").alias(c) for s, c in zip(SEGMENTS, SEGMENT_FLAGS)]
+    )
+    return cohort.join_subject(plan.split("V1"), people, "subject_id")
+
+
+def fitted_segments(spark: SparkSession, folder: str, family: str) -> train.FittedModel:
+    """All flags in an unpenalised linear model, or one split on the first flag."""
+
+    def fit() -> train.FittedModel:
+        rows = tables.materialize(segment_rows(spark, folder), scratch(spark))
+        if family == "linear":
+            return train.train_model(rows, FeatureSet("S1", family, (), tuple(SEGMENT_FLAGS)), STAR.label, params=EXACT_LINEAR)
+        return train.train_model(rows, FeatureSet("S1", family, (TREE_FLAG,)), STAR.label, params=EXACT_TREE)
+
+    return kept_model(spark, folder, f"segments-{family}", fit)
+
+
+SEGMENT_ROWS = (
+    "SELECT s1.hadm_id, s1.y_inhosp_death AS y, s1.split, CASE WHEN insurance IN ("
+    + o.comma(f"'{s}'" for s in SEGMENTS)
+    + ") THEN insurance ELSE 'OTHER' END AS g FROM s1 JOIN pat USING (subject_id)"
+)
+# balanced classes: the weighted share of class 1 in each segment's train rows
+SEGMENT_SHARES = (
+    "SELECT g, pos / (pos + neg) AS share FROM (SELECT g, sum(y) / (2.0 * max(p)) AS pos, sum(1 - y) / (2.0 * max(q)) AS neg FROM ("
+    f"SELECT *, sum(y) OVER () AS p, sum(1 - y) OVER () AS q FROM ({SEGMENT_ROWS}) r WHERE split = 'train') t GROUP BY g) u"
+)
+# one split, labels -1 and 1, positives weighted by their rarity: what a leaf says, and its share of the weight
+TREE_LEAVES = (
+    "SELECT f, (pos - neg) / (pos + neg) AS leaf, (pos + neg) / sum(pos + neg) OVER () AS share FROM ("
+    f"SELECT g = '{SEGMENTS[0]}' AS f, sum(y) * max(q) / max(p)::DOUBLE AS pos, sum(1 - y) AS neg FROM (SELECT *, sum(y) OVER () AS p, sum(1 - y) OVER () AS q FROM ({SEGMENT_ROWS}) r "
+    "WHERE split = 'train') t GROUP BY 1) u"
+)
+
+
+def _metrics_sql(scored: str, family: str | None) -> str:
+    """Metrics of both splits of a relation with split, y and s."""
+    head = f"'S1' AS version, '{family}' AS family, " if family else ""
+    return (
+        f"SELECT {head}split, CAST(max(total) AS BIGINT) AS n, round(max(p)::DOUBLE / max(total), 6) AS prevalence, "
+        "round(sum((n - pos) * (tp - pos / 2.0)) / (max(p)::DOUBLE * (max(total) - max(p))), 6) AS auroc, round(sum(pos * tp::DOUBLE / alerts) / max(p), 6) AS auprc FROM ("
+        "SELECT *, sum(pos) OVER w AS tp, sum(n) OVER w AS alerts, sum(pos) OVER (PARTITION BY split) AS p, sum(n) OVER (PARTITION BY split) AS total FROM ("
+        f"SELECT split, s, sum(y) AS pos, count(*) AS n FROM ({scored}) a GROUP BY 1, 2) b WINDOW w AS (PARTITION BY split ORDER BY s DESC)) c GROUP BY split"
+    )
+
+
+LINEAR_SCORED = f"SELECT hadm_id, split, y, share AS s FROM ({SEGMENT_ROWS}) r JOIN ({SEGMENT_SHARES}) h USING (g)"
+TREE_SCORED = f"SELECT hadm_id, split, y, 1 / (1 + exp(-2 * leaf)) AS s FROM ({SEGMENT_ROWS}) r JOIN ({TREE_LEAVES}) h ON h.f = (r.g = '{SEGMENTS[0]}')"
+METRICS = ["prevalence", "auroc", "auprc"]
+
+
+@model_query("train_logistic", _metrics_sql(LINEAR_SCORED, "linear"))
 def train_logistic(spark, folder):
+    """A fit with a closed form; V3 is ``train_logistic_v3``."""
+    return rounded(train.metrics_report([fitted_segments(spark, folder, "linear")], spark), METRICS)
+
+
+@model_query("train_logistic_v3")
+def train_logistic_v3(spark, folder):
     return train.metrics_report([fitted(spark, folder, "V3", "linear")], spark)
 
 
-@model_query("train_boosted_trees")
+@model_query("train_boosted_trees", _metrics_sql(TREE_SCORED, "tree"))
 def train_boosted_trees(spark, folder):
+    """One round with one split; V3 is ``train_boosted_trees_v3``."""
+    return rounded(train.metrics_report([fitted_segments(spark, folder, "tree")], spark), METRICS)
+
+
+@model_query("train_boosted_trees_v3")
+def train_boosted_trees_v3(spark, folder):
     return train.metrics_report([fitted(spark, folder, "V3", "tree")], spark)
 
 
 @model_query("train_by_version")
 def train_by_version(spark, folder):
-    plan = star_plan(spark, folder)
-    runs = train.train_by_version({v: plan.split(v) for v in VERSIONS}, STAR)
+    runs = train.train_by_version(star_plan(spark, folder).written_splits(), STAR)
     return train.metrics_report(list(runs.values()), spark)
 
 
-@model_query("train_metrics_report")
+@model_query("train_metrics_report", _metrics_sql(LINEAR_SCORED, None))
 def train_metrics_report(spark, folder):
-    model = fitted(spark, folder, "V1", "linear")
-    return train.training_metrics(model, star_plan(spark, folder).split("V1"))
+    model = fitted_segments(spark, folder, "linear")
+    rows = tables.materialize(segment_rows(spark, folder), scratch(spark))
+    return rounded(train.training_metrics(model, rows), METRICS)
 
 
-@model_query("non_feature_columns")
+@model_query(
+    "non_feature_columns",
+    f"SELECT hadm_id, y AS y_inhosp_death, round(s, 4) AS y_pred_proba FROM ({LINEAR_SCORED}) q WHERE split = 'valid'",
+)
 def non_feature_columns(spark, folder):
-    model = fitted(spark, folder, "V1", "linear")
-    valid = assemble.split_rows(star_plan(spark, folder).split("V1"), "valid")
-    return model.score(valid).select(KEY, STAR.label, train.PREDICTION)
+    """Ids, times, label and split beside the inputs do not change a score."""
+    model = fitted_segments(spark, folder, "linear")
+    valid = assemble.split_rows(segment_rows(spark, folder), "valid")
+    return rounded(model.score(valid).select(KEY, STAR.label, train.PREDICTION), [train.PREDICTION], 4)
 
 
 @model_query("save_load_model", "SELECT split, count(*) AS n, 0 AS n_different FROM s1 GROUP BY split")
@@ -1216,15 +1375,48 @@ def save_load_model(spark, folder):
     )
 
 
-@model_query("coefficients")
+def _logit(share: str) -> str:
+    return f"ln({share} / (1 - {share}))"
+
+
+COEFFICIENTS = (
+    f"SELECT 'is_' || lower(c.g) AS feature, 'bin' AS type, {_logit('c.share')} - {_logit('b.share')} AS coef FROM ({SEGMENT_SHARES}) c, "
+    f"({SEGMENT_SHARES}) b WHERE b.g = 'OTHER' AND c.g <> 'OTHER'"
+)
+COEFFICIENT_ROWS = f"SELECT feature, type, round(coef, 4) AS coef, round(exp(coef), 4) AS odds_ratio, round(abs(coef), 4) AS abs_coef FROM ({COEFFICIENTS}) k"
+COEFFICIENT_NUMBERS = ["coef", "odds_ratio", "abs_coef"]
+
+
+@model_query("coefficients", COEFFICIENT_ROWS)
 def coefficients(spark, folder):
+    return rounded(train.coefficients(fitted_segments(spark, folder, "linear"), spark), COEFFICIENT_NUMBERS, 4)
+
+
+@model_query("coefficients_v3")
+def coefficients_v3(spark, folder):
     return train.coefficients(fitted(spark, folder, "V3", "linear"), spark)
 
 
-@model_query("topn_by_abs")
+@model_query(
+    "coefficient_summary",
+    f"SELECT 'S1' AS version, round({_logit('share')}, 4) AS intercept, round(share / (1 - share), 4) AS odds_at_zero, CAST({len(SEGMENTS)} AS BIGINT) AS n_total_features, "
+    f"CAST(0 AS BIGINT) AS n_continuous, CAST({len(SEGMENTS)} AS BIGINT) AS n_binary, CAST(0 AS BIGINT) AS n_categories, "
+    f"(SELECT feature FROM ({COEFFICIENTS}) k ORDER BY abs(coef) DESC LIMIT 1) AS largest FROM ({SEGMENT_SHARES}) h WHERE g = 'OTHER'",
+)
+def coefficient_summary(spark, folder):
+    """Intercept, number of inputs by kind and the largest coefficient, from a written bundle."""
+    parts = reports.coefficient_report([fitted_segments(spark, folder, "linear")], spark)
+    place = scratch(spark)
+    artifacts.write_bundle(spark, parts, place)
+    summary = artifacts.read_bundle(spark, place)["summary"]
+    named = summary.withColumn("largest", F.col("top_features")[0]["feature"]).drop("top_features")
+    return rounded(named, ["intercept", "odds_at_zero"], 4)
+
+
+@model_query("topn_by_abs", f"SELECT * FROM ({COEFFICIENT_ROWS}) t ORDER BY abs_coef DESC, feature LIMIT 3")
 def topn_by_abs(spark, folder):
-    table = train.coefficients(fitted(spark, folder, "V3", "linear"), spark)
-    return train.top_by(table, "abs_coef", "feature", 10)
+    table = train.coefficients(fitted_segments(spark, folder, "linear"), spark)
+    return rounded(train.top_by(table, "abs_coef", "feature", 3), COEFFICIENT_NUMBERS, 4)
 
 
 def _valid_v3(spark, folder) -> DataFrame:
@@ -1248,9 +1440,9 @@ V1_INPUTS = feature_set(STAR, "V1", "linear").columns
 )
 def assert_vectors_finite(spark, folder):
     """The gate lets the preprocessed inputs pass and stops the raw ones, whose nulls are returned."""
-    rows = star_plan(spark, folder).split("V1")
+    rows = tables.materialize(star_plan(spark, folder).split("V1"), scratch(spark))
     fitted_prep = prep.fit_preprocessor(assemble.split_rows(rows, "train"), feature_set(STAR, "V1", "linear"))
-    checks.assert_vectors_finite(fitted_prep.apply(rows), fitted_prep.vector_columns, rows, V1_INPUTS)
+    checks.assert_vectors_finite(fitted_prep.apply(rows), fitted_prep.number_columns, rows, V1_INPUTS)
     counts = checks.nonfinite_counts(rows, V1_INPUTS)
     if any(counts.first()):
         try:
@@ -1261,16 +1453,43 @@ def assert_vectors_finite(spark, folder):
     return counts
 
 
+TREE_VALUES = f"SELECT *, sum(leaf * share) OVER () AS mean FROM ({TREE_LEAVES}) l"
+
+
+@model_query(
+    "attributions",
+    f"SELECT hadm_id, '{TREE_FLAG}' AS feature, round(2 * (leaf - mean), 6) AS contribution FROM ({SEGMENT_ROWS}) r JOIN ({TREE_VALUES}) h ON h.f = (r.g = '{SEGMENTS[0]}') "
+    f"WHERE split = 'valid' UNION ALL SELECT hadm_id, '<bias>', round(2 * mean, 6) FROM ({SEGMENT_ROWS}) r, (SELECT max(mean) AS mean FROM ({TREE_VALUES}) v) h WHERE split = 'valid'",
+)
+def attribution_rows(spark, folder):
+    """Shapley values of one split; V3 is ``attributions_v3``."""
+    model = fitted_segments(spark, folder, "tree")
+    valid = assemble.split_rows(segment_rows(spark, folder), "valid")
+    return rounded(attributions.attributions(model, valid, KEY, scratch(spark)), ["contribution"])
+
+
+@model_query(
+    "attribution_ranking",
+    f"SELECT '{TREE_FLAG}' AS feature, round(avg(abs(2 * (leaf - mean))), 6) AS mean_abs_contribution FROM ({SEGMENT_ROWS}) r "
+    f"JOIN ({TREE_VALUES}) h ON h.f = (r.g = '{SEGMENTS[0]}') WHERE split = 'valid'",
+)
+def attribution_ranking(spark, folder):
+    model = fitted_segments(spark, folder, "tree")
+    valid = assemble.split_rows(segment_rows(spark, folder), "valid")
+    ranking = attributions.attribution_ranking(attributions.attributions(model, valid, KEY, scratch(spark)))
+    return rounded(ranking, ["mean_abs_contribution"])
+
+
 def _contributions(spark, folder) -> DataFrame:
     model = fitted(spark, folder, "V3", "tree")
     return attributions.attributions(model, _valid_v3(spark, folder), KEY, scratch(spark))
 
 
-@model_query("attributions")
-def attribution_rows(spark, folder):
+@model_query("attributions_v3")
+def attribution_rows_v3(spark, folder):
     return _contributions(spark, folder)
 
 
-@model_query("attribution_ranking")
-def attribution_ranking(spark, folder):
+@model_query("attribution_ranking_v3")
+def attribution_ranking_v3(spark, folder):
     return attributions.attribution_ranking(_contributions(spark, folder))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 
 from tidemark.operators import assemble, cohort, events, flags
 from tidemark.operators.cohort import by_stay, cohort_base, with_first_stay
+from tidemark.session import cut_lineage
 from tidemark.specs import VERSIONS, Study
 
 
@@ -199,3 +200,18 @@ class FeaturePlan:
         return assemble.time_split(joined, "anchor_year", s.split_cut).drop("anchor_year").select(
             *features.columns, "split"
         )
+
+    def written_splits(self) -> dict[str, DataFrame]:
+        """Split tables of all versions, from one written table.
+
+        V4 is written once; V1 to V3 are columns of it, V5 and V6 start from its
+        V3 columns and take its labels, and are written too.
+        """
+        s = self.study
+        v4 = cut_lineage(self.split("V4"))
+        splits = {v: v4.select(*self.columns(v), "split") for v in ("V1", "V2", "V3")} | {"V4": v4}
+        v3 = v4.select(*self.columns("V3"))
+        labels = v4.select(s.entity, "split")
+        for version in ("V5", "V6"):
+            splits[version] = cut_lineage(self.split(version, features=self.features(version, v3), split_v4=labels))
+        return splits

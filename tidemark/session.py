@@ -19,6 +19,8 @@ def build_session(name: str, cores: str | int = "*", shuffle_partitions: int = 8
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         # a hot key is split even where that costs one more shuffle
         .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
+        # several fits share the cores
+        .config("spark.scheduler.mode", "FAIR")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.checkpoint.dir", os.environ.get("TIDEMARK_SHARED_DIR", f"{tempfile.gettempdir()}/tidemark"))

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from datetime import datetime
 
 from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from tidemark.operators.assemble import require_columns
 from tidemark.operators.prep import Preprocessor
@@ -41,6 +41,27 @@ def write_report(report: DataFrame, path: str, source: str = "json") -> None:
     (writer.option("header", True) if source == "csv" else writer).save(path)
 
 
+def write_bundle(spark: SparkSession, reports: Mapping[str, DataFrame], folder: str) -> DataFrame:
+    """Reports that belong together, as Parquet below one folder, and their manifest ``name, path, rows``.
+
+    Rows are counted while they are written.  The manifest is written last, so a
+    folder with a manifest is complete.
+    """
+    rows = []
+    for name, report in reports.items():
+        seen = Observation()
+        report.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(f"{folder}/{name}")
+        rows.append((name, f"{folder}/{name}", seen.get["rows"]))
+    manifest = spark.createDataFrame(rows, "name string, path string, rows long")
+    write_report(manifest, f"{folder}/manifest", "parquet")
+    return manifest
+
+
+def read_bundle(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The reports of a complete bundle by name."""
+    return {r["name"]: spark.read.parquet(r["path"]) for r in spark.read.parquet(f"{folder}/manifest").collect()}
+
+
 def _write_text(spark: SparkSession, text: str, path: str) -> None:
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
@@ -52,6 +73,8 @@ def save_model(
     stamp = stamp or datetime.now().strftime("%Y%m%d_%H%M%S")
     for name in (stamp, LATEST) if latest else (stamp,):
         model.pipeline.write().overwrite().save(f"{folder}/pipelines/{name}")
+        if model.prep.categories is not None:
+            model.prep.categories.write.mode("overwrite").parquet(f"{folder}/categories/{name}")
         record = {"prep": model.prep.to_json(), "label": model.label, "details": model.details}
         # the record is written last: a model is listed once it is complete
         _write_text(spark, json.dumps(record), f"{folder}/records/stamp={name}")
@@ -75,4 +98,7 @@ def load_model(spark: SparkSession, folder: str, stamp: str | None = None) -> Fi
         raise FileNotFoundError(f"no model {stamp} under {folder}")
     record = json.loads(spark.read.text(f"{folder}/records/stamp={stamp}").first()["value"])
     pipeline = PipelineModel.load(f"{folder}/pipelines/{stamp}")
-    return FittedModel(Preprocessor.from_json(record["prep"]), pipeline, record["label"], record["details"])
+    prep = Preprocessor.from_json(record["prep"])
+    if prep.categorical:
+        prep.categories = spark.read.parquet(f"{folder}/categories/{stamp}")
+    return FittedModel(prep, pipeline, record["label"], record["details"])
