@@ -67,6 +67,40 @@ def test_column_functions(spark, documents, rows_of_documents, vocabulary, other
         assert bytes(row["back"]) == (row["text"] or "").encode()
 
 
+def test_round_trip_in_one_worker(spark, documents, rows_of_documents, vocabulary, other, monkeypatch):
+    from tidemark.llm import bpe
+
+    code = bpe.round_trip(spark, vocabulary)
+    got = documents.select("text", code("text").alias("coded"))
+    assert got._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    for row in got.select("text", "coded.ids", "coded.decoded").collect():
+        assert bytes(row["ids"]) == packed(other.encode_ordinary(row["text"] or ""))
+        assert bytes(row["decoded"]) == (row["text"] or "").encode()
+
+
+def test_portions_are_bounded_and_whole(monkeypatch):
+    import pyarrow as pa
+
+    from tidemark.llm import bpe
+
+    monkeypatch.setattr(bpe, "TEXTS_AT_ONCE", 3)
+    monkeypatch.setattr(bpe, "BYTES_AT_ONCE", 10)
+    texts = ["a" * n for n in (1, 2, 3, 4, 30, 9, 1, 1)] + [None]
+    portions = list(bpe._portions(pa.array(texts)))
+    assert [t for p in portions for t in p] == [t or "" for t in texts]
+    assert all(len(p) <= 3 and (len(p) == 1 or sum(map(len, p)) <= 10) for p in portions)
+
+
+def test_caches_are_emptied_and_unknown_ids_fail(vocabulary):
+    coder = vocabulary.coder()
+    coder.encode(["some words and some more"])
+    assert coder.pieces and coder.chunks
+    coder.forget()
+    assert not coder.pieces and not coder.chunks
+    with pytest.raises(KeyError):
+        coder.decode(packed([1 << 30]))
+
+
 def test_long_piece(vocabulary, other):
     text = "ab" * 100_000
     assert vocabulary.coder().encode([text]) == [packed(other.encode_ordinary(text))]

@@ -6,9 +6,11 @@ holds the leftmost minimum rank of all neighbouring pairs.  A merge takes the
 root, joins two neighbours and updates the pairs of the live neighbours, each
 in logarithmic time, so that even a piece of a megabyte is done in O(n log n).
 
-Texts repeat their words, so every Python worker keeps the results of pieces
-and of blank-separated chunks in caches of bounded size; pieces that are new in a batch
-and short are merged side by side, each in a tree of its own.
+Texts repeat their words, so a task keeps the results of pieces and of
+blank-separated chunks in caches of bounded size, which it empties at its end;
+pieces that are new in a batch and short are merged side by side, each in a tree
+of its own.  Encoding and decoding back is one function, so that a task has one
+Python worker.
 """
 
 from __future__ import annotations
@@ -31,8 +33,8 @@ CACHE_ENTRIES, CACHED_LENGTH = 350_000, 48
 NONE = 1 << 62  # larger than any pair's key
 #: Pieces up to this many bytes are merged side by side, longer ones alone.
 SIDE_BY_SIDE = 64
-#: Texts of a batch whose chunks are looked up together.
-TEXTS_AT_ONCE = 96
+#: Texts whose chunks are looked up together: so many, and of so many bytes unless one alone has more.
+TEXTS_AT_ONCE, BYTES_AT_ONCE = 96, 4 << 20
 _CODERS: dict[str, Coder] = {}
 _TWO_BLANKS = regex.compile(r"\s\s")
 _LATIN_END = "\u0250"
@@ -246,8 +248,17 @@ class Coder:
         kept |= self.learn(unknown)
         return [b"".join([kept[c] for c in chunks]) for chunks in cut]
 
+    def forget(self) -> None:
+        """Empties the caches."""
+        self.pieces.clear()
+        self.chunks.clear()
+
     def decode(self, packed: bytes) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(packed, dtype="<u4").tolist()))
+        return decoded(self.tokens, packed)
+
+
+def decoded(tokens: Mapping[int, bytes], packed: bytes) -> bytes:
+    return b"".join(map(tokens.__getitem__, np.frombuffer(packed, dtype="<u4").tolist()))
 
 
 class Vocabulary:
@@ -265,6 +276,20 @@ class Vocabulary:
         return _CODERS[self.key]
 
 
+def _portions(batch: pa.Array) -> Iterator[list[str]]:
+    """Texts of a batch in portions of bounded size; null is empty."""
+    texts, size = [], 0
+    for value in batch:
+        text = value.as_py() or ""
+        if texts and (len(texts) == TEXTS_AT_ONCE or size + len(text) > BYTES_AT_ONCE):
+            yield texts
+            texts, size = [], 0
+        texts.append(text)
+        size += len(text)
+    if texts:
+        yield texts
+
+
 def encoder(spark: SparkSession, vocabulary: Vocabulary):
     """Function of a text column: ids packed as little-endian unsigned 32-bit.
 
@@ -275,28 +300,44 @@ def encoder(spark: SparkSession, vocabulary: Vocabulary):
     @F.arrow_udf(BinaryType())
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         coder = shared.value.coder()
-        for batch in batches:
-            out: list[bytes] = []
-            for start in range(0, len(batch), TEXTS_AT_ONCE):
-                texts = batch.slice(start, TEXTS_AT_ONCE).to_pylist()
-                out += coder.encode([text or "" for text in texts])
-            yield pa.array(out, pa.binary())
+        try:
+            for batch in batches:
+                yield pa.array([ids for texts in _portions(batch) for ids in coder.encode(texts)], pa.binary())
+        finally:
+            coder.forget()
 
     return encode
 
 
+def round_trip(spark: SparkSession, vocabulary: Vocabulary):
+    """Function of a text column: ``ids`` as of ``encoder``, and the bytes ``decoded`` from them."""
+    shared = spark.sparkContext.broadcast(vocabulary)
+
+    @F.arrow_udf("ids binary, decoded binary")
+    def code(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        coder = shared.value.coder()
+        try:
+            for batch in batches:
+                ids = [packed for texts in _portions(batch) for packed in coder.encode(texts)]
+                decoded = pa.array([coder.decode(packed) for packed in ids], pa.binary())
+                yield pa.StructArray.from_arrays([pa.array(ids, pa.binary()), decoded], ["ids", "decoded"])
+        finally:
+            coder.forget()
+
+    return code
+
+
 def decoder(spark: SparkSession, vocabulary: Vocabulary):
     """Function of a column of packed ids: the bytes they stand for.
 
     Null and empty ids give no bytes; an id outside the vocabulary fails.
     """
-    shared = spark.sparkContext.broadcast(vocabulary)
+    shared = spark.sparkContext.broadcast({rank: token for token, rank in vocabulary.ranks.items()})
 
     @F.arrow_udf(BinaryType())
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        coder = shared.value.coder()
         for batch in batches:
-            yield pa.array([coder.decode(p.as_py() or b"") for p in batch], pa.binary())
+            yield pa.array([decoded(shared.value, p.as_py() or b"") for p in batch], pa.binary())
 
     return decode
 
@@ -318,11 +359,12 @@ def public_vocabulary() -> Vocabulary:
 
 
 def op9_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
-    vocabulary = public_vocabulary()
-    coded = with_token_ids(document_table(spark, folder).select("doc_id", "text"), vocabulary)
+    """Every document's ids and what they decode to, as digests; a null text is empty."""
+    code = round_trip(spark, public_vocabulary())
+    coded = document_table(spark, folder).select("doc_id", code(F.col("text")).alias("coded"))
     return coded.select(
         "doc_id",
-        n_tokens(F.col("token_ids")).alias("n_tokens"),
-        F.sha2("token_ids", 256).alias("ids_sha256"),
-        F.sha2(decoder(spark, vocabulary)("token_ids"), 256).alias("decoded_sha256"),
+        n_tokens(F.col("coded.ids")).alias("n_tokens"),
+        F.sha2("coded.ids", 256).alias("ids_sha256"),
+        F.sha2("coded.decoded", 256).alias("decoded_sha256"),
     )
