@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm.bpe import decoder, n_tokens, public_vocabulary, with_token_ids
+from tidemark.llm.bpe import n_tokens, public_vocabulary, round_trip
 from tidemark.llm.common import document_table, written
 from tidemark.llm.language import document_model, with_language
 from tidemark.llm.line_dedup import dedup_lines
@@ -47,10 +47,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids (packed unsigned 32-bit) of every text, and whether they decode to it."""
-    vocabulary = public_vocabulary()
-    coded = with_token_ids(docs.select(*COLUMNS), vocabulary)
-    same = decoder(spark, vocabulary)("token_ids") == F.coalesce("text", F.lit("")).cast("binary")
-    return coded.withColumn("n_tokens", n_tokens(F.col("token_ids"))).withColumn("decodes", same)
+    code = round_trip(spark, public_vocabulary())
+    coded = docs.select(*COLUMNS, code(F.col("text")).alias("coded"))
+    same = F.col("coded.decoded") == F.coalesce("text", F.lit("")).cast("binary")
+    ids = F.col("coded.ids")
+    return coded.select(*COLUMNS, ids.alias("token_ids"), n_tokens(ids).alias("n_tokens"), same.alias("decodes"))
 
 
 STAGES = [
