@@ -28,13 +28,13 @@ from pyspark.sql.types import BinaryType
 from tidemark.llm.common import document_table
 
 #: Entries of either cache, and the longest key that is kept.
-CACHE_ENTRIES, CACHED_LENGTH = 350_000, 48
+CACHE_ENTRIES, CACHED_LENGTH = 600_000, 48
 
 NONE = 1 << 62  # larger than any pair's key
 #: Pieces up to this many bytes are merged side by side, longer ones alone.
 SIDE_BY_SIDE = 64
 #: Texts whose chunks are looked up together: so many, and of so many bytes unless one alone has more.
-TEXTS_AT_ONCE, BYTES_AT_ONCE = 96, 4 << 20
+TEXTS_AT_ONCE, BYTES_AT_ONCE = 1024, 4 << 20
 _CODERS: dict[str, Coder] = {}
 _TWO_BLANKS = regex.compile(r"\s\s")
 _LATIN_END = "\u0250"
@@ -226,13 +226,19 @@ class Coder:
         return self.pattern.findall(chunk)
 
     def learn(self, chunks: set[str]) -> dict[str, bytes]:
-        """Ids of chunks that are not cached; short ones are kept."""
+        """Ids of chunks that are not cached; short ones are kept.
+
+        A chunk that is one piece is kept as a chunk only, and found there when
+        it is a piece of another one.
+        """
+        kept, parts = self.chunks, self.pieces
         cut = {chunk: self.matches(chunk) for chunk in chunks}
-        known = self.pieces
-        new = list({piece for pieces in cut.values() for piece in pieces if piece not in known})
-        fresh = dict(zip(new, self.merger.many([piece.encode() for piece in new])))
-        out = {c: b"".join([known[p] if p in known else fresh[p] for p in pieces]) for c, pieces in cut.items()}
-        for cache, found in ((known, fresh), (self.chunks, out)):
+        pieces = {piece for found in cut.values() if len(found) > 1 for piece in found}
+        known = {p: ids for p in pieces if (ids := parts.get(p) or kept.get(p)) is not None}
+        new = list({c for c, found in cut.items() if len(found) == 1} | (pieces - known.keys()))
+        known.update(zip(new, self.merger.many([piece.encode() for piece in new])))
+        out = {c: b"".join([known[p] for p in found]) for c, found in cut.items()}
+        for cache, found in ((parts, {p: known[p] for p in pieces if p not in out}), (kept, out)):
             if len(cache) + len(found) > CACHE_ENTRIES:
                 cache.clear()
             cache.update((k, v) for k, v in found.items() if len(k) <= CACHED_LENGTH)
