@@ -38,10 +38,37 @@ def test_order_is_shuffled(spark):
 
 def test_written_shards_and_edges(spark, documents, clashing, empty, tmp_path):
     write_shards(documents, f"{tmp_path}/s", text_size(F.col("text")), shards=3)
-    assert read_shards(spark, f"{tmp_path}/s").count() == documents.count()
+    back = read_shards(spark, f"{tmp_path}/s", documents.schema)
+    assert back.count() == documents.count() and back.drop("shard", "slot").exceptAll(documents).count() == 0
     got = shuffled(clashing, text_size(F.col("text")))
     assert set(got.columns) == set(clashing.columns)
     assert shuffled(empty, text_size(F.col("text"))).count() == 0
+    empty.write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert op7_shard(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_texts_are_moved_once(spark, documents):
+    """One exchange carries the rows; the others carry counts."""
+    plan = shuffled(documents, text_size(F.col("text")), bucket_bytes=100_000)
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in text.splitlines() if "Exchange" in line and "Broadcast" not in line]
+    assert sum("shufflepartitionidpassthrough" in line.lower() or "directpartition" in line.lower() for line in moved) == 1, moved
+    assert len(moved) <= 3, moved
+
+
+@pytest.mark.parametrize("same_id", [True, False])
+def test_many_equal_rows_spread(spark, same_id):
+    """Copies of one row, a third of all bytes and more, fill many buckets; other rows stay as they are."""
+    n = 100_000
+    hot = spark.range(n).select(F.lit(7 if same_id else None).cast("long").alias("doc_id"), F.lit("same text again").alias("text"))
+    rest = spark.range(5_000).selectExpr("id + 1000 as doc_id", "concat('text ', id) as text")
+    df = hot.union(rest)
+    got = shuffled(df, text_size(F.col("text")), shards=6, bucket_bytes=200_000)
+    sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == n + 5_000 and max(sizes) < 3 * (n + 5_000) / len(sizes) and len(sizes) > 8
+    by = got.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.max("slot").alias("last"), F.count_distinct("slot").alias("slots")).collect()
+    assert {r["n"] for r in by} <= {17_500} and all(r["slots"] == r["n"] == r["last"] + 1 for r in by)
+    assert got.where("text = 'same text again'").count() == n and got.select("doc_id", "text").exceptAll(df).count() == 0
 
 
 def test_query(spark):
