@@ -5,7 +5,7 @@ import pytest
 
 from tidemark.llm import set_join
 from tidemark.llm.components import components
-from tidemark.llm.set_join import NO_ID, join_components, keep_one
+from tidemark.llm.set_join import NO_ID, join_components, keep_one, op3_jaccard_join
 
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 
@@ -27,14 +27,14 @@ def by_hand(rows, k, percent):
             if sets[i] and sets[j] and 100 * common >= percent * (len(sets[i]) + len(sets[j]) - common):
                 a, b = group[i], group[j]
                 group = [b if g == a else g for g in group]
-    least = {g: min(i for i, h in zip(ids, group) if h == g) for g in group}
-    return sorted((i, len(s), least[g]) for i, s, g in zip(ids, sets, group))
+    real = {g: [i for i, h in zip(ids, group) if h == g and i != NO_ID] for g in group}
+    return sorted(((i, len(s), min(real[g], default=None)) for i, s, g in zip(ids, sets, group)), key=str)
 
 
 @pytest.mark.parametrize("k, percent", [(3, 90), (5, 80), (1, 50)])
 def test_same_as_by_hand(documents, rows_of_documents, k, percent):
     got = join_components(documents, k, percent).select("id", "n_shingles", "component_id").collect()
-    assert sorted(map(tuple, got)) == by_hand(rows_of_documents, k, percent)
+    assert sorted(map(tuple, got), key=str) == by_hand(rows_of_documents, k, percent)
 
 
 def test_chains_and_families_of_near_copies(spark):
@@ -50,11 +50,11 @@ def test_chains_and_families_of_near_copies(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
     for k, percent in ((3, 90), (1, 80), (2, 70)):
         got = join_components(df, k, percent).select("id", "n_shingles", "component_id").collect()
-        assert sorted(map(tuple, got)) == by_hand(rows, k, percent)
+        assert sorted(map(tuple, got), key=str) == by_hand(rows, k, percent)
 
 
 def test_one_of_each_group_stays(documents, rows_of_documents, clashing, empty):
-    want = {i for i, _, c in by_hand(rows_of_documents, 5, 80) if i == c}
+    want = {i for i, _, c in by_hand(rows_of_documents, 5, 80) if c is None or i == c}
     got = [NO_ID if r["doc_id"] is None else r["doc_id"] for r in keep_one(documents).collect()]
     assert set(got) == want
     assert got.count(3) == 1
@@ -63,6 +63,29 @@ def test_one_of_each_group_stays(documents, rows_of_documents, clashing, empty):
     assert join_components(empty).count() == 0
 
 
+def test_query_and_null_ids(spark, tmp_path):
+    """A null id is never the least; a component without a real one has none, and keeps one row."""
+    text = " ".join(f"w{i}" for i in range(40))
+    other = " ".join(f"v{i}" for i in range(40))
+    rows = [(None, text), (6, text), (5, text + " tail"), (None, other), (None, other + " tail"), (None, None), (9, ""), (None, "")]
+    rows = [(i, t, "en", "a", 1) for i, t in rows]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    got = op3_jaccard_join(spark, str(tmp_path)).collect()
+    want = [(None if i == NO_ID else i, n, c) for i, n, c in by_hand(rows, 3, 90)]
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == sorted(want, key=str)
+    assert {r["component_id"] for r in got} == {5, 9, None}
+    kept = keep_one(spark.read.parquet(f"{tmp_path}/documents.parquet")).collect()
+    assert sorted(str(r["doc_id"]) for r in kept if r["text"]) == ["5", "None"]
+
+
+def test_query_as_by_hand(spark):
+    folder = "/root/testdata/sf0.001"
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
+    got = op3_jaccard_join(spark, folder).collect()
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == by_hand(rows, 3, 90)
+    assert sorted((r["doc_id"], r["n_links"]) for r in got) == links_by_hand(rows, 3, 90)
+
+
 def links_by_hand(rows, k, percent):
     sets = [shingles(r[1], k) for r in rows]
     n = [0] * len(rows)

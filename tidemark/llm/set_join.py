@@ -383,7 +383,7 @@ def join_components(
     classes = written(
         sets.where("n > 0").groupBy("class").agg(
             F.max("n").alias("n"),
-            F.min("id").alias("least_id"),
+            F.min(F.nullif("id", F.lit(NO_ID))).alias("least_id"),
             F.count(F.lit(1)).alias("copies"),
             *[F.max(m).alias(m) for m in MAPS],
         ),
@@ -442,7 +442,8 @@ def join_components(
         "hash",
         F.col("n").alias("n_shingles"),
         "component",
-        F.coalesce("component_id", "id").alias("component_id"),
+        # the least real id; null where no member has one
+        F.nullif(F.coalesce("component_id", "id"), F.lit(NO_ID)).alias("component_id"),
     ]
     if links:
         nodes = joined.withColumnRenamed("node", "class").join(classes.select("class", "n", "copies"), "class")
@@ -461,7 +462,7 @@ def keep_one(documents: DataFrame, k: int = 5, percent: int = 80, text: str = "t
     rows that agree in id and text, one.
     """
     found = join_components(documents, k, percent, text, doc_id, links=False)
-    first = found.where("component is not null and id = component_id")
+    first = found.where(F.col("component").isNotNull() & (F.col("id") == F.coalesce("component_id", F.lit(NO_ID))))
     kept = (
         first.groupBy("component", "id")
         .agg(F.min("hash").alias("hash"))
