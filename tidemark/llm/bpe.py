@@ -18,6 +18,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator, Mapping
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -212,8 +213,10 @@ class Coder:
         """
         if _TWO_BLANKS.search(text):
             return self.pattern.findall(text)
-        first, *rest = text.replace("\n", " \n").split(" ")
-        return [first, *[part if part[:1] == "\n" else f" {part}" for part in rest]]
+        if "\0" in text:
+            first, *rest = text.replace("\n", " \n").split(" ")
+            return [first, *[part if part[:1] == "\n" else f" {part}" for part in rest]]
+        return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
 
     def matches(self, chunk: str) -> list[str]:
         """The pattern's matches; a word of Latin letters, alone or before one sign, needs no search."""
@@ -226,7 +229,7 @@ class Coder:
         return self.pattern.findall(chunk)
 
     def learn(self, chunks: set[str]) -> dict[str, bytes]:
-        """Ids of chunks that are not cached; short ones are kept.
+        """Ids of chunks that are not cached.
 
         A chunk that is one piece is kept as a chunk only, and found there when
         it is a piece of another one.
@@ -238,21 +241,24 @@ class Coder:
         new = list({c for c, found in cut.items() if len(found) == 1} | (pieces - known.keys()))
         known.update(zip(new, self.merger.many([piece.encode() for piece in new])))
         out = {c: b"".join([known[p] for p in found]) for c, found in cut.items()}
-        for cache, found in ((parts, {p: known[p] for p in pieces if p not in out}), (kept, out)):
-            if len(cache) + len(found) > CACHE_ENTRIES:
-                cache.clear()
-            cache.update((k, v) for k, v in found.items() if len(k) <= CACHED_LENGTH)
+        parts.update((p, known[p]) for p in pieces if p not in out and len(p) <= CACHED_LENGTH)
+        if len(parts) > CACHE_ENTRIES:
+            parts.clear()
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [self.cut(text) for text in texts]
         known = self.chunks
-        unknown = {chunk for chunks in cut for chunk in chunks if chunk not in known}
-        if not unknown:
-            return [b"".join([known[c] for c in chunks]) for chunks in cut]
-        kept = {c: known[c] for chunks in cut for c in chunks if c in known}
-        kept |= self.learn(unknown)
-        return [b"".join([kept[c] for c in chunks]) for chunks in cut]
+        unknown = set(chain.from_iterable(cut)).difference(known)
+        if unknown:
+            known.update(self.learn(unknown))
+        found = [b"".join(map(known.__getitem__, chunks)) for chunks in cut]
+        for chunk in unknown:
+            if len(chunk) > CACHED_LENGTH:
+                del known[chunk]
+        if len(known) > CACHE_ENTRIES:
+            known.clear()
+        return found
 
     def forget(self) -> None:
         """Empties the caches."""
