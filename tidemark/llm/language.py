@@ -19,8 +19,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark.llm.common import document_table, fold, fresh
 
-#: The fit's bounds: sampled texts of each language and characters of each.
-SAMPLES, SAMPLE_CHARS = 64, 768
+#: The fit's bounds: sampled texts of each language, and characters of each in so many pieces.
+SAMPLES, SAMPLE_CHARS, PIECES = 64, 768, 3
 #: Characters compressed at once, and the compression level.
 WINDOW, LEVEL = 1024, 7
 #: Bytes by which a language must be larger to be e times less likely.
@@ -40,6 +40,20 @@ class Model:
     shares: Mapping[str, float]
 
 
+def spread_pieces(text: Column, chars: int, pieces: int = PIECES) -> Column:
+    """Pieces of a text, ``chars`` characters together, from places that its hash chooses all over it.
+
+    A text of no more characters is taken whole.
+    """
+    each = max(1, (chars - pieces + 1) // pieces)
+    starts = F.char_length(text) - each + 1
+    parts = [
+        F.substring(text, (F.lit(1) + F.pmod(F.xxhash64(text, F.lit(i)), starts)).cast("int"), F.lit(each))
+        for i in range(pieces)
+    ]
+    return F.when(F.char_length(text) <= chars, text).otherwise(F.concat_ws("\n", *parts))
+
+
 def fit_model(
     labelled: DataFrame,
     text: str = "text",
@@ -50,10 +64,10 @@ def fit_model(
     """Dictionaries and shares of the languages in ``labelled``.
 
     Of each language up to ``samples`` texts are taken, the one of least hash in
-    each of as many hash ranges, and up to ``sample_chars`` characters of each:
-    at most ``samples * sample_chars`` characters a language reach the driver,
-    whatever the size of the table.  Shares count all rows.  Rows without
-    language, and texts without a letter, are passed over.
+    each of as many hash ranges, and up to ``sample_chars`` characters of each,
+    in pieces from all over it: at most ``samples * sample_chars`` characters a
+    language reach the driver, whatever the size of the table.  Shares count all
+    rows.  Rows without language, and texts without a letter, are passed over.
     """
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(
         F.col(lang).alias("lang"), F.xxhash64(text).alias("hash"), F.col(text).alias("text")
@@ -63,7 +77,7 @@ def fit_model(
     picked = (
         rows.join(F.broadcast(least), ["lang", "part", "hash"])
         .groupBy("lang", "part")
-        .agg(F.min(F.substring("text", 1, sample_chars)).alias("text"), F.first("n").alias("n"))
+        .agg(F.min(spread_pieces(F.col("text"), sample_chars)).alias("text"), F.first("n").alias("n"))
     )
     found: dict[str, list[tuple[int, str]]] = {}
     counts: dict[str, int] = {}
@@ -98,16 +112,17 @@ class Compressors:
     def classify(self, text: str | None) -> tuple[str, float, bool]:
         """Language, score and whether it is rejected.
 
-        A language that needs ``BYTES_PER_NAT`` bytes more counts ``e`` times
-        less; the score is the best one's part of the sum.  Among equals the
-        first language by name is taken.
+        The language with the smallest size is taken, among equals the commoner
+        one, then the first by name.  In the score, its part of the sum, a
+        language counts by how common it is, and ``e`` times less for
+        ``BYTES_PER_NAT`` bytes more; so a narrow margin has a low score.
         """
         if not text or not self.languages or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0, True
         sizes = self.sizes(text)
         least = min(sizes)
         weights = [s * math.exp((least - size) / BYTES_PER_NAT) for s, size in zip(self.shares, sizes)]
-        best = max(range(len(weights)), key=weights.__getitem__)
+        best = min(range(len(sizes)), key=lambda i: (sizes[i], -self.shares[i], self.languages[i]))
         score = weights[best] / sum(weights)
         return self.languages[best], score, score < MIN_SCORE
 
@@ -142,6 +157,7 @@ def document_model(documents: DataFrame) -> Model:
 
 
 def op2_language(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of every document, learnt from those that are not held out."""
     documents = document_table(spark, folder)
     return with_language(documents.select("doc_id", "text"), document_model(documents)).select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected"
