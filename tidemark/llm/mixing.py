@@ -214,9 +214,9 @@ def mixture(mixed: DataFrame) -> DataFrame:
 
 
 def write_mixture(mixed: DataFrame, path: str) -> None:
-    """Shards as folders ``shard=<n>``, each shuffled by its positions."""
+    """Shards as folders ``shard=<n>``, each shuffled by its positions; several tasks may write one."""
     rows = mixture(mixed)
-    rows.repartition("shard").sortWithinPartitions("shard", "position").write.partitionBy("shard").parquet(path)
+    rows.repartitionByRange("shard", "position").sortWithinPartitions("shard", "position").write.partitionBy("shard").parquet(path)
 
 
 def mixed_documents(documents: DataFrame) -> DataFrame:
