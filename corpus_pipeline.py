@@ -40,9 +40,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixture's rows: a document as often as it is drawn, shuffled within its shards."""
+    """The mixture's rows: a document as often as it is drawn, shuffled within its shards.
+
+    A shard may span several tasks, so their number follows from the session and
+    not from that of the shards.
+    """
     drawn = mixture(mixed_documents(docs))
-    return drawn.repartition("shard").sortWithinPartitions("shard", "position").select(*COLUMNS)
+    return drawn.repartitionByRange("shard", "position").sortWithinPartitions("shard", "position").select(*COLUMNS)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
