@@ -46,7 +46,8 @@ def event_window(
     )
     inside = (F.col(time) >= F.col("_anchor")) & (F.col(time) < F.col("_anchor") + length)
     for c in same:
-        inside &= F.col(c) == F.col(f"_own_{c}")
+        # as an equality it would become a key of the join, and undo a partitioning by the others
+        inside &= (F.col(c) >= F.col(f"_own_{c}")) & (F.col(c) <= F.col(f"_own_{c}"))
     return rows.join(anchors, list(keys)).where(inside).drop("_anchor", *[f"_own_{c}" for c in same])
 
 

@@ -122,3 +122,41 @@ def procedure_flags(
     inside = procedure_events(entities, stays, procedures, entity, anchor, window, **options)
     flagged = inside.select(entity, "itemid").join(label_flags(items, rules_), ["itemid"])
     return _max_flags(flagged, entity, [r.name for r in rules_])
+
+
+# --- events with their flags, to be stored by entity ---------------------------
+
+
+def flagged_prescriptions(
+    prescriptions: DataFrame, entity: str, rules_: Sequence[TextRule], dictionary: DataFrame | None = None
+) -> DataFrame:
+    """``entity, starttime`` and the text flags of every prescription; coded ones without an entry go."""
+    text = F.lower(F.coalesce(F.col("drug"), F.lit("")))
+    flags = [rules.text_rule(r, text).alias(r.name) for r in rules_]
+    if dictionary is None:
+        return prescriptions.select(entity, "starttime", *flags)
+    coded = prescriptions.select(entity, "itemid", "starttime")
+    return coded.join(dictionary.select("itemid", *flags), ["itemid"]).drop("itemid")
+
+
+def flagged_procedures(
+    stays: DataFrame, procedures: DataFrame, items: DataFrame, entity: str, rules_: Sequence[TextRule]
+) -> DataFrame:
+    """``entity, starttime`` and the text flags of every procedure event of an entity's stays."""
+    owners = stays.select(entity, "stay_id").dropna().distinct()
+    events = procedures.select("stay_id", "itemid", "starttime").join(label_flags(items, rules_), ["itemid"])
+    return events.join(owners, ["stay_id"]).drop("itemid", "stay_id")
+
+
+def window_flags(
+    entities: DataFrame,
+    flagged: DataFrame,
+    entity: str,
+    anchor: str,
+    window: timedelta,
+    rules_: Sequence[TextRule],
+    **options,
+) -> DataFrame:
+    """Flags of the events in the window, one row per entity; stored by entity, nothing is shuffled."""
+    inside = event_window(entities.select(entity, anchor), flagged, [entity], anchor, "starttime", window, **options)
+    return _max_flags(inside, entity, [r.name for r in rules_])

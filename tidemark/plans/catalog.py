@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.functions import columns as rules
 from tidemark.functions.prefix import global_rank
-from tidemark.operators import assemble, attributions, checks, cohort, curves, errors, events, flags, prep, train
+from tidemark.operators import assemble, attributions, checks, cohort, curves, errors, events, flags, gates, prep, train
 from tidemark.plans import oracle as o, reports
 from tidemark.plans.features import FeaturePlan
 from tidemark.plans.star import EVENT_VITALS, EVENT_WINDOW, STAR, star_plan
@@ -746,6 +746,23 @@ def assert_known_error_group(plan):
     return checks.unknown_error_groups(errors.error_groups(odd, LABEL, "yhat")).select(KEY, "yhat")
 
 
+CHECKED = {
+    "rows": "count(*)",
+    "null_key": "count(*) - count(hadm_id)",
+    "repeated_key": "count(*) - count(DISTINCT hadm_id)",
+    "invalid_label": "count(*) FILTER (y_inhosp_death IS NULL OR y_inhosp_death NOT IN (0, 1))",
+    **{f"outcome:{s}:{y}": f"count(*) FILTER (split = '{s}' AND y_inhosp_death = {y})" for s in ("train", "valid") for y in (0, 1)},
+    **{f"null:{c}": f"count(*) - count({c})" for c in NULL_COLUMNS},
+}
+
+
+@query("checked_write", " UNION ALL ".join(f"SELECT '{name}' AS measure, {count} AS n FROM s1" for name, count in CHECKED.items()))
+def checked_write(plan):
+    """Row counts, keys, labels, outcomes by split and null rates, collected while the V1 split is written."""
+    written = gates.write_checked(plan.split("V1"), scratch(spark_of(plan)), [KEY], label=STAR.label, nulls=NULL_COLUMNS)
+    return written.require(empty=False).profile(spark_of(plan))
+
+
 # --- assembled versions ------------------------------------------------------
 
 for _i in range(1, 4):
@@ -780,6 +797,16 @@ def features_v5(plan):
     return rounded(plan.features("V5"), STAR.vitals.value_columns)
 
 
+@query("features_v5_stored", rounded_block("feat5", f"{V3_NAMES}, stay_id, intime, first_careunit, {MISSING_VITALS}"))
+def features_v5_stored(plan):
+    """V5 over facts stored by entity, which it does not shuffle again."""
+    spark = spark_of(plan)
+    name = f"facts_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE DATABASE {name} LOCATION '{scratch(spark)}'")
+    stored = plan.stored(name, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return rounded(stored.features("V5"), STAR.vitals.value_columns)
+
+
 @query("features_v6_nostay", "SELECT * FROM feat6")
 def features_v6(plan):
     return plan.features("V6")

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from tidemark.operators import assemble, cohort, events, flags
 from tidemark.operators.cohort import by_stay, cohort_base, with_first_stay
-from tidemark.session import cut_lineage
+from tidemark.operators.gates import CheckedTable, write_checked
+from tidemark.session import shared_folder
+from tidemark.sources.tables import materialize_bucketed
 from tidemark.specs import VERSIONS, Study
 
 
@@ -62,6 +65,8 @@ class FeaturePlan:
     def medications(self, everyone: bool = True) -> DataFrame:
         s = self.study
         anchors = self._all_anchors() if everyone else self._anchors
+        if (flagged := self.tables.get("flagged_prescriptions")) is not None:
+            return flags.window_flags(anchors, flagged, s.entity, s.anchor, s.window, s.medications, **self.options)
         return flags.medication_flags(
             anchors,
             self.tables["prescriptions"],
@@ -76,6 +81,8 @@ class FeaturePlan:
     def procedures(self, everyone: bool = True) -> DataFrame:
         s = self.study
         anchors = self._all_anchors() if everyone else self._anchors
+        if (flagged := self.tables.get("flagged_procedures")) is not None:
+            return flags.window_flags(anchors, flagged, s.entity, s.anchor, s.window, s.procedures, **self.options)
         return flags.procedure_flags(
             anchors,
             self.tables["stays"],
@@ -113,7 +120,8 @@ class FeaturePlan:
             carry=["stay_id"], same=[s.subject], **self.options,
         )
         summary = events.summarize_vitals(inside, [s.entity, "stay_id"], s.vitals)
-        every = assemble.left_assemble(anchored.drop(s.subject), [summary], [s.entity, "stay_id"])
+        # one stay an entity: joined by the entity alone, by which facts may be stored
+        every = assemble.left_assemble(anchored.drop(s.subject), [summary.drop("stay_id")], [s.entity])
         return assemble.with_missing_flags(every, s.vitals.stems)
 
     # --- assembled versions --------------------------------------------------
@@ -175,8 +183,8 @@ class FeaturePlan:
             return self._wide(version)
         v3 = self._wide("V3") if v3 is None else v3
         if version == "V5":
-            vitals = self.stay_vitals().drop("intime")
-            return assemble.left_assemble(self.stay_cohort(v3), [vitals], ["stay_id", s.entity])
+            vitals = self.stay_vitals().drop("intime", "stay_id")
+            return assemble.left_assemble(self.stay_cohort(v3), [vitals], [s.entity])
         return by_stay(v3, self.tables["stays"], s.entity, has_stay=False)
 
     def split(
@@ -205,13 +213,54 @@ class FeaturePlan:
         """Split tables of all versions, from one written table.
 
         V4 is written once; V1 to V3 are columns of it, V5 and V6 start from its
-        V3 columns and take its labels, and are written too.
+        V3 columns and take its labels, and are written too.  Keys, labels and
+        row counts are checked while they are written, and ``QualityError`` ends
+        the run: every entity must be in V5 or in V6.
         """
         s = self.study
-        v4 = cut_lineage(self.split("V4"))
+        place = shared_folder(self.tables["admissions"].sparkSession)
+
+        def checked(split: DataFrame) -> CheckedTable:
+            return write_checked(split, f"{place}/split-{uuid.uuid4().hex}", [s.entity], label=s.label)
+
+        whole = checked(self.split("V4")).require()
+        v4 = whole.table
         splits = {v: v4.select(*self.columns(v), "split") for v in ("V1", "V2", "V3")} | {"V4": v4}
         v3 = v4.select(*self.columns("V3"))
         labels = v4.select(s.entity, "split")
-        for version in ("V5", "V6"):
-            splits[version] = cut_lineage(self.split(version, features=self.features(version, v3), split_v4=labels))
-        return splits
+        with_stay, without = (checked(self.split(v, features=self.features(v, v3), split_v4=labels)) for v in ("V5", "V6"))
+        without.require(rows=whole.rows - with_stay.require().rows)
+        return splits | {"V5": with_stay.table, "V6": without.table}
+
+    #: Tables whose rows belong to an entity.
+    FACTS = ("admissions", "stays", "labs", "diagnoses", "vitals")
+
+    def stored(self, database: str, buckets: int) -> FeaturePlan:
+        """The same plan over facts that are stored bucketed and sorted by entity.
+
+        Facts are shuffled once, here.  Every version of the returned plan then
+        joins and groups them where they lie, as it does the cohort, which is
+        stored too.  Prescriptions and procedures are stored with their text
+        flags, and procedures with the entity of their stay, so that no dictionary
+        is met again.  Rows without an entity belong to none and are left out.
+        """
+        s = self.study
+        stored = dict(self.tables)
+
+        def keep(name: str, df: DataFrame) -> DataFrame:
+            return materialize_bucketed(df.where(F.col(s.entity).isNotNull()), f"{database}.{name}", s.entity, buckets)
+
+        for name in self.FACTS:
+            if s.entity in self.tables[name].columns:
+                stored[name] = keep(name, self.tables[name])
+        drugs = flags.flagged_prescriptions(
+            self.tables["prescriptions"], s.entity, s.medications, self.tables.get("drug_items")
+        )
+        stored["flagged_prescriptions"] = keep("flagged_prescriptions", drugs)
+        done = flags.flagged_procedures(
+            self.tables["stays"], self.tables["procedures"], self.tables["items"], s.entity, s.procedures
+        )
+        stored["flagged_procedures"] = keep("flagged_procedures", done)
+        plan = FeaturePlan(s, stored, bool(self.options))
+        plan.base = keep("base", self.base)
+        return plan
