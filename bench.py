@@ -39,13 +39,18 @@ HEADLINE = (
     "binary_rates_by_group",
     "impute_median",
     "preprocess_linear",
+    "score",
+    "model_comparison",
+    "error_report",
+    "attributions",
+    "checked_write",
 )
 
 
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cores = int(os.environ.get("BENCH_CPUS", os.cpu_count() or 8))
-    runs = int(os.environ.get("BENCH_RUNS", "2"))
+    runs = int(os.environ.get("BENCH_RUNS", "3"))
     spark = build_session("bench", cores, shuffle_partitions=cores)
     spark.sparkContext.setLogLevel("ERROR")
 
