@@ -23,6 +23,11 @@ def other():
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+@pytest.fixture(scope="module")
+def coder(vocabulary):
+    return vocabulary.coder()
+
+
 def packed(ids):
     return np.array(ids, "<u4").tobytes()
 
@@ -50,9 +55,8 @@ def test_pieces_merge_as_by_hand(vocabulary):
 
 @settings(max_examples=150, deadline=None)
 @given(st.text(max_size=80), st.lists(st.sampled_from(["don't", "  ", "\n", " \n", "x1", "Ünï", "$$$", "\r\n", "\x1c", " ", "日本", "a."])))
-def test_texts_as_the_library(vocabulary, other, text, parts):
+def test_texts_as_the_library(coder, other, text, parts):
     for t in (text, " ".join(parts), "".join(parts)):
-        coder = vocabulary.coder()
         (got,) = coder.encode([t])
         assert got == packed(other.encode_ordinary(t))
         assert coder.decode(got) == t.encode()
@@ -91,14 +95,22 @@ def test_portions_are_bounded_and_whole(monkeypatch):
     assert all(len(p) <= 3 and (len(p) == 1 or sum(map(len, p)) <= 10) for p in portions)
 
 
-def test_caches_are_emptied_and_unknown_ids_fail(vocabulary):
-    coder = vocabulary.coder()
-    coder.encode(["some words and some more"])
-    assert coder.pieces and coder.chunks
-    coder.forget()
-    assert not coder.pieces and not coder.chunks
+def test_nothing_stays_behind_and_unknown_ids_fail(vocabulary):
+    assert vocabulary.coder() is not vocabulary.coder()
     with pytest.raises(KeyError):
-        coder.decode(packed([1 << 30]))
+        vocabulary.coder().decode(packed([1 << 30]))
+
+
+def test_full_caches_keep_results_right(vocabulary, other, monkeypatch):
+    from tidemark.llm import bpe
+
+    monkeypatch.setattr(bpe, "CACHE_ENTRIES", 20)
+    coder, rng = vocabulary.coder(), random.Random(3)
+    words = ["".join(rng.choice("abcdeé'") for _ in range(rng.randint(1, 60))) for _ in range(300)]
+    for _ in range(40):
+        texts = [" ".join(rng.choices(words, k=rng.randint(0, 20))) + rng.choice(["", ".", "\n", "\0", " \n x"]) for _ in range(5)]
+        assert coder.encode(texts) == [packed(other.encode_ordinary(t)) for t in texts]
+        assert len(coder.chunks) <= 20 and all(len(c) <= bpe.CACHED_LENGTH for c in coder.chunks)
 
 
 def test_long_piece(vocabulary, other):

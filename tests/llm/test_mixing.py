@@ -2,7 +2,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm.mixing import mix, mixed_documents, mixture, splitting_tree, water_fill, word_count, write_mixture
+from tidemark.llm.mixing import (
+    mix, mixed_documents, mixture, op10_mix_sources, splitting_tree, water_fill, word_count, write_mixture,
+)
 
 
 def test_water_fill():
@@ -67,3 +69,55 @@ def test_edges(documents, clashing, empty, rows_of_documents):
     assert len(twins) == 3 and twins[0] == twins[1] == twins[2]
     assert mixed_documents(clashing).count() == len(rows_of_documents)
     assert mixed_documents(empty).count() == 0 and mixture(mixed_documents(empty)).count() == 0
+
+
+def targets_by_hand(sizes):
+    """Source -> target, by resharing the excess until no source is above twice its size."""
+    order = sorted(sizes, key=lambda s: (s is not None and [0, *map(ord, s)]) or [1])
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}
+    total, fixed = 1.5 * sum(sizes.values()), {s: 0.0 for s in order if not sizes[s]}
+    while True:
+        free = [s for s in order if s not in fixed]
+        rest, mass = total - sum(fixed.values()), sum(weight[s] for s in free)
+        over = [s for s in free if rest * weight[s] / mass > 2 * sizes[s]]
+        if not over:
+            return fixed | {s: rest * weight[s] / mass for s in free}
+        fixed |= {s: 2.0 * sizes[s] for s in over}
+
+
+@pytest.mark.parametrize("kind", ["odd rows", "sf0.001"])
+def test_query_against_a_plain_mix(spark, documents, tmp_path, kind):
+    import re
+
+    folder = "/root/testdata/sf0.001"
+    if kind == "odd rows":
+        folder = str(tmp_path)
+        # a source without a word, and one whose name sorts by code point behind all letters
+        more = spark.createDataFrame([(900, None, "en", "zero", 0), (901, " \t", "en", "zero", 0), (902, "a b c", "en", "é", 0)], documents.schema)
+        documents.union(more).write.parquet(f"{folder}/documents.parquet")
+    rows = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "source", "text").collect()
+    words = [len(re.findall(r"[^\x20\x09-\x0d]+", r["text"] or "")) for r in rows]
+    sizes = {}
+    for r, n in zip(rows, words):
+        sizes[r["source"]] = sizes.get(r["source"], 0) + n
+    target = targets_by_hand(sizes)
+    got = op10_mix_sources(spark, folder)
+    found = got.join(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "source").distinct(), "doc_id", "left").collect()
+    assert got.count() == len(rows)
+    assert sorted(r["size"] for r in got.collect()) == sorted(words)
+    taken = {}
+    for r in found:
+        if r["doc_id"] is None:
+            continue
+        assert r["source_size"] == sizes[r["source"]] and r["target"] == pytest.approx(target[r["source"]])
+        assert 0 <= r["taken"] <= 2 * r["size"] and r["taken"] % max(1, r["size"]) == 0
+        assert len(r["shards"]) * r["size"] == r["taken"]
+    for r in got.collect():
+        key = (r["source_size"], round(r["target"], 6))
+        taken[key] = taken.get(key, 0) + r["taken"]
+    largest = max(words)
+    for s, t in target.items():
+        same = [o for o in target if (sizes[o], round(target[o], 6)) == (sizes[s], round(t, 6))]
+        assert abs(taken.get((sizes[s], round(t, 6)), 0) - len(same) * t) <= len(same) * largest
+    again = op10_mix_sources(spark, folder)
+    assert again.exceptAll(got).count() == 0

@@ -16,7 +16,6 @@ Python worker.
 from __future__ import annotations
 
 import base64
-import hashlib
 from collections.abc import Iterator, Mapping
 from itertools import chain
 
@@ -26,7 +25,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import BinaryType
 
-from tidemark.llm.common import document_table
+from tidemark.llm.common import document_table, give_back
 
 #: Entries of either cache, and the longest key that is kept.
 CACHE_ENTRIES, CACHED_LENGTH = 600_000, 48
@@ -36,7 +35,6 @@ NONE = 1 << 62  # larger than any pair's key
 SIDE_BY_SIDE = 64
 #: Texts whose chunks are looked up together: so many, and of so many bytes unless one alone has more.
 TEXTS_AT_ONCE, BYTES_AT_ONCE = 1024, 4 << 20
-_CODERS: dict[str, Coder] = {}
 _TWO_BLANKS = regex.compile(r"\s\s")
 _LATIN_END = "\u0250"
 
@@ -260,11 +258,6 @@ class Coder:
             known.clear()
         return found
 
-    def forget(self) -> None:
-        """Empties the caches."""
-        self.pieces.clear()
-        self.chunks.clear()
-
     def decode(self, packed: bytes) -> bytes:
         return decoded(self.tokens, packed)
 
@@ -274,18 +267,14 @@ def decoded(tokens: Mapping[int, bytes], packed: bytes) -> bytes:
 
 
 class Vocabulary:
-    """Ranks and pattern as sent to the executors, with the worker's coder."""
+    """Ranks and pattern as sent to the executors."""
 
     def __init__(self, ranks: Mapping[bytes, int], pattern: str):
         self.ranks, self.pattern = dict(ranks), pattern
-        text = pattern + "".join(f"{t.hex()} {r}\n" for t, r in self.ranks.items())
-        self.key = hashlib.sha256(text.encode()).hexdigest()
 
     def coder(self) -> Coder:
-        if self.key not in _CODERS:
-            _CODERS.clear()
-            _CODERS[self.key] = Coder(self.ranks, self.pattern)
-        return _CODERS[self.key]
+        """A coder for one task: it is made in a fraction of a second, and nothing stays behind in the worker."""
+        return Coder(self.ranks, self.pattern)
 
 
 def _portions(batch: pa.Array) -> Iterator[list[str]]:
@@ -316,7 +305,8 @@ def encoder(spark: SparkSession, vocabulary: Vocabulary):
             for batch in batches:
                 yield pa.array([ids for texts in _portions(batch) for ids in coder.encode(texts)], pa.binary())
         finally:
-            coder.forget()
+            del coder
+            give_back()
 
     return encode
 
@@ -334,7 +324,8 @@ def round_trip(spark: SparkSession, vocabulary: Vocabulary):
                 decoded = pa.array([coder.decode(packed) for packed in ids], pa.binary())
                 yield pa.StructArray.from_arrays([pa.array(ids, pa.binary()), decoded], ["ids", "decoded"])
         finally:
-            coder.forget()
+            del coder
+            give_back()
 
     return code
 

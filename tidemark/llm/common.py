@@ -2,32 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
+import ctypes
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tidemark.session import shared_folder
+
 #: ASCII white space that bounds words and trims lines.
 BLANKS = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, which all executors can reach.
-
-    Where it is unset, a local session gets a folder of its own; a cluster must
-    name one, since its machines share no temporary folder.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="tidemark-llm-")
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
 def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -68,3 +57,23 @@ def ascii_lower(text: Column) -> Column:
 def fold(doc_id: Column, folds: int) -> Column:
     """``crc32`` of the id as text, modulo ``folds``; null for a null id."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds))
+
+
+def give_back() -> None:
+    """Return freed memory to the system, where a worker that waits for its next task would keep it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library
+    if trim is not None:
+        trim(0)
+
+
+def releasing(scan: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``scan`` for ``mapInArrow``, giving memory back at the end of each task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from scan(batches)
+        finally:
+            give_back()
+
+    return run

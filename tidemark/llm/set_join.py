@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tidemark.llm.common import document_table, fresh, written
+from tidemark.llm.common import document_table, fresh, releasing, written
 from tidemark.llm.components import components
 from tidemark.llm.wordhash import BLANK_SEPARATED, Words, mixed, word_runs
 
@@ -130,7 +130,7 @@ def _sets(documents: DataFrame, k: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([*none, pa.array(range(chunks), pa.int64()), pa.array(packed)], names)
 
     columns = ", ".join(f"{c} bigint" for c in ("id", "hash", "class", "n", *MAPS, "chunk"))
-    return documents.mapInArrow(scan, f"{columns}, counts binary")
+    return documents.mapInArrow(releasing(scan), f"{columns}, counts binary")
 
 
 def _counted(chunks: DataFrame) -> np.ndarray:
@@ -184,7 +184,7 @@ def _postings(documents: DataFrame, counts: np.ndarray, k: int, percent: int) ->
                     ["token", "class", "position"],
                 )
 
-    return documents.mapInArrow(scan, "token bigint, class bigint, position int")
+    return documents.mapInArrow(releasing(scan), "token bigint, class bigint, position int")
 
 
 def _wanted_bit(c: Column) -> Column:
@@ -224,7 +224,7 @@ def _texts(documents: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
                     picked = batch.column(2).take(pa.array([low + i for i in rows]))
                     yield pa.RecordBatch.from_arrays([pa.array(classes[rows].view(np.int64)), picked], ["class", "text"])
 
-    found = documents.mapInArrow(scan, "class bigint, text string")
+    found = documents.mapInArrow(releasing(scan), "class bigint, text string")
     return written(found.groupBy("class").agg(F.first("text").alias("text")), "texts")
 
 
@@ -257,7 +257,7 @@ def _linked(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
     # the texts are the larger side at any size; without the hint small tables of pairs would change the plan
     joined = pairs.join(one.hint("merge"), "a").join(other.hint("merge"), "b")
     joined = joined.select("a", "b", "text_a", "text_b")
-    return joined.mapInArrow(scan, "a bigint, b bigint")
+    return joined.mapInArrow(releasing(scan), "a bigint, b bigint")
 
 
 def block_links(
