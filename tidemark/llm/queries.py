@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import line_dedup, merkle
+from tidemark.llm import line_dedup, merkle, twins
 from tidemark.llm.bpe import op9_byte_bpe
 from tidemark.llm.embedding_dedup import op4_embedding_dedup
 from tidemark.llm.katz import op12_katz
@@ -33,4 +33,10 @@ QUERIES = {
     "op13_whitening": op13_whitening,
 }
 
-ORACLES: dict[str, str] = {"op1_line_dedup": line_dedup.ORACLE, "op11_merkle": merkle.ORACLE}
+ORACLES: dict[str, str] = {
+    "op1_line_dedup": line_dedup.ORACLE,
+    "op3_jaccard_join": twins.JACCARD,
+    "op4_embedding_dedup": twins.COSINE,
+    "op5_warc": twins.WARC,
+    "op11_merkle": merkle.ORACLE,
+}
