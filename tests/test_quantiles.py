@@ -40,8 +40,9 @@ def test_columns_match_numpy(spark, most_inside):
     check(got, SHAPES)
 
 
-@pytest.mark.parametrize("most_inside", [2_000_000, 40])
-def test_groups_match_numpy(spark, most_inside):
+@pytest.mark.parametrize("most_inside, plan_groups", [(2_000_000, 16), (40, 16), (2_000_000, 1)])
+def test_groups_match_numpy(spark, monkeypatch, most_inside, plan_groups):
+    monkeypatch.setattr(quantiles, "PLAN_GROUPS", plan_groups)
     frame = pd.concat([pd.DataFrame({"g": g, "v": v}) for g, v in SHAPES.items()])
     df = spark.createDataFrame(frame).union(spark.createDataFrame([("empty", None), (None, 1.0), (None, 2.0)], "g string, v double"))
     rows = exact_quantiles(df.repartition(4), ["v"], PROBS, ["g"], most_inside=most_inside).collect()

@@ -20,6 +20,8 @@ WIDTHS = (2 / ACCURACY, 0.005, 0.05, 0.25)
 #: Brackets that hold more rows are narrowed before their values are counted.
 MOST_INSIDE = 2_000_000
 GRID = 100
+#: Edges of so many groups are constants of the plan; those of more are a table.
+PLAN_GROUPS = 16
 
 
 def _point(p: float) -> float:
@@ -43,6 +45,19 @@ class _Brackets:
         if not by:
             row = [[tuple(map(_literal, self.edges[0, c, q])) for q in wanted] for c in range(self.columns)]
             return df, row
+        if len(self.groups) <= PLAN_GROUPS:
+            number = F.lit(None).cast("int")
+            for g, group in reversed(list(enumerate(self.groups))):
+                same = F.lit(True)
+                for b, value in zip(by, group):
+                    same = same & F.col(b).eqNullSafe(F.lit(value))
+                number = F.when(same, g).otherwise(number)
+
+            def constant(c: int, q: int, side: int) -> Column:
+                return F.get(F.array(*[_literal(self.edges[g, c, q][side]) for g in range(len(self.groups))]), F.col("_g"))
+
+            sides = [[(constant(c, q, 0), constant(c, q, 1)) for q in wanted] for c in range(self.columns)]
+            return df.withColumn("_g", number), sides
         spark = df.sparkSession
         rows = [
             (g, [float(e) for c in range(self.columns) for q in wanted for e in self.edges[g, c, q]])
