@@ -168,3 +168,27 @@ def test_layout_does_not_matter(spark, anchors, rows):
     reference = rows(events.panel_first(anchors, data, PANEL, ["hadm_id"], "admittime", DAY))
     for shuffled in (data.repartition(7), data.orderBy(F.desc("valuenum")), data.coalesce(1)):
         assert rows(events.panel_first(anchors, shuffled, PANEL, ["hadm_id"], "admittime", DAY)) == reference
+
+
+def test_first_values_hold_one_entity_at_a_time(spark, anchors, rows):
+    """After a sort-merge join no hash table of groups and no further sort is made."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        data = labs(spark, [(1, 1, 2.0, at(1)), (1, 2, None, at(1)), (1, 2, 3.0, at(2)), (2, 1, 5.0, at(1)), (2, 1, 4.0, at(1))])
+        wide = events.panel_first(anchors, data, PANEL, ["hadm_id"], "admittime", DAY)
+        plan = wide._jdf.queryExecution().sparkPlan().toString()
+        assert "SortAggregate" in plan and "HashAggregate" not in plan
+        executed = wide._jdf.queryExecution().executedPlan().toString()
+        assert executed.count("Sort [") == 2 and executed.count("Exchange hashpartitioning") == 2
+        assert rows(wide, "hadm_id", "a_first", "b_first") == [(1, 2.0, 3.0), (2, 4.0, None)]
+        vitals = Vitals({1: "hr", 2: "rr"}, {"hr": (0, 9), "rr": (0, 9)}, suffix="")
+        summary = events.vital_summary(anchors, data, vitals, ["hadm_id"], "admittime", DAY)
+        assert "HashAggregate" not in summary._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_first_value_keeps_to_known_times(spark, rows):
+    """A row without a time is never the first; a null value is first only where its time has no other."""
+    data = labs(spark, [(1, 1, 9.0, None), (1, 1, None, at(1)), (1, 1, 7.0, at(1)), (1, 2, None, at(1)), (1, 2, 5.0, at(2)), (2, 1, 1.0, None)])
+    assert rows(events.pivot_first(data, ["hadm_id"], PANEL), "hadm_id", "a_first", "b_first") == [(1, 7.0, None), (2, None, None)]
