@@ -363,3 +363,20 @@ def test_catalog_fits_trees_without_a_cap_of_rounds(spark, monkeypatch):
     with pytest.raises(InterruptedError):
         catalog.fitted(spark, "/root/testdata/sf0.001", "V3", "tree")
     assert seen == [{}] and train.MAX_TREES >= 10 * train.PATIENCE
+
+
+def test_segment_fits_read_no_events(spark, monkeypatch):
+    """Only orders and customers make the flags; no feature of the version is computed beside them."""
+    from tidemark.plans import catalog
+
+    class Seen(Exception):
+        pass
+
+    def look(df, features, label, **options):
+        raise Seen(sorted({f.split("/")[-1] for f in df.select(label, "split", *features.columns).inputFiles()}))
+
+    monkeypatch.setattr(train, "train_model", look)
+    for family in FAMILIES:
+        with pytest.raises(Seen) as seen:
+            catalog.fitted_segments(spark, "/root/testdata/sf0.001//", family)
+        assert seen.value.args[0] == ["customer.parquet", "orders.parquet"]
