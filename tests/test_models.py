@@ -380,3 +380,39 @@ def test_segment_fits_read_no_events(spark, monkeypatch):
         with pytest.raises(Seen) as seen:
             catalog.fitted_segments(spark, "/root/testdata/sf0.001//", family)
         assert seen.value.args[0] == ["customer.parquet", "orders.parquet"]
+
+
+def test_split_of_a_version_is_written_once(spark, monkeypatch):
+    from tidemark.plans import catalog
+
+    first = catalog.kept_split(spark, "/root/testdata/sf0.001//", "V1")
+    monkeypatch.setattr(catalog, "star_plan", None)
+    again = catalog.kept_split(spark, "/root/testdata/sf0.001//", "V1")
+    assert sorted(again.inputFiles()) == sorted(first.inputFiles()) and again.count() == first.count() > 0
+
+
+def test_tables_of_leaves_add_up_as_leaf_by_leaf():
+    """Leaves in shared tables, of few tests and of many, give what each leaf gives by itself."""
+    rng = np.random.default_rng(3)
+
+    def leaf(tests):
+        path = {}
+        for j in rng.permutation(6)[:tests]:
+            low, high = np.sort(rng.normal(size=2))
+            path[int(j)] = (low if rng.uniform() < 0.5 else -np.inf, high, rng.uniform(0.2, 0.9))
+        return {"value": float(rng.normal()), "path": path}
+
+    leaves = [leaf(n) for n in (1, 2, 2, 6, 6, 3, 0, 1)]
+    x = rng.normal(size=(20, 6))
+    tables = attributions.leaf_tables(leaves)
+    assert 1 < len(tables) < len(leaves) and any(isinstance(t, dict) for t in tables)
+    values, bias = attributions.contributions(leaves, x)
+    for row, got in zip(x, values):
+        expected, base = brute_shapley(leaves, row, 6)
+        assert np.allclose(got, expected) and bias == pytest.approx(base)
+
+
+def test_next_fit_takes_what_the_patience_asks():
+    assert train.more_rounds(150, 150, 50) == 300
+    assert train.more_rounds(150, 148, 50) == 198
+    assert train.more_rounds(150, 101, 50) == 187
