@@ -1,6 +1,8 @@
+import random
 import re
 import string
 
+import numpy as np
 import pytest
 
 from tidemark.llm import set_join
@@ -116,6 +118,47 @@ def test_links_as_by_hand(spark, documents, rows_of_documents, monkeypatch):
         assert sorted(map(tuple, got)) == want
 
 
+def test_long_bitmaps_count_what_only_one_set_has():
+    """A bit for the parity of each residue; of two lengths, the longer one folds to the other."""
+    rng = np.random.default_rng(1)
+    sets = [rng.integers(0, 1 << 63, size=n, dtype=np.uint64) for n in (256, 257, 512, 513, 1000, 0)]
+    sets[3][:500] = sets[2][:500]
+    text = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    maps = set_join.parity_bitmaps(text, np.concatenate(sets), np.array([len(s) for s in sets])).to_pylist()
+    assert [m and 8 * len(m) for m in maps] == [None, 512, 512, 1024, 1024, None]
+    for i in range(1, 5):
+        for j in range(1, 5):
+            width = 8 * min(len(maps[i]), len(maps[j]))
+            odd = [np.bincount((s % np.uint64(width)).astype(int), minlength=width) % 2 for s in (sets[i], sets[j])]
+            assert set_join.differing_bits(maps[i], maps[j]) == (odd[0] != odd[1]).sum()
+    assert set_join.differing_bits(maps[2], maps[3]) <= 12 + 13
+    assert set_join.differing_bits(maps[3], maps[4]) > 300
+
+
+def test_long_unlike_texts_are_not_moved(spark, documents, monkeypatch):
+    """Long texts that share rare shingles but are unlike meet by their bitmaps only; links between long texts stay."""
+    draw = random.Random(3)
+    common = [f"c{i}" for i in range(400)]
+    rows = [(i, " ".join([*common, *(f"o{i}w{j}" for j in range(1600 + 20 * i))]), "", "", 0) for i in range(12)]
+    # near copies on both sides of 512 shingles, where the length of the bitmap changes
+    base = [f"b{i}" for i in range(540)]
+    for i in range(12):
+        words = base[: 500 + 3 * i]
+        words[draw.randrange(len(words))] = f"new{i}"
+        rows.append((100 + i, " ".join(words), "", "", 0))
+    df = spark.createDataFrame(rows, documents.schema)
+    # a table of counts that tells nothing, as in a corpus far larger than it
+    monkeypatch.setattr(set_join, "_counted", lambda chunks: np.zeros(set_join.CELLS, dtype=np.int64))
+    compared, linked = [], set_join._linked
+    monkeypatch.setattr(set_join, "_linked", lambda pairs, *rest: compared.append(pairs.collect()) or linked(pairs, *rest))
+    got = join_components(df, 3, 90).collect()
+    assert sorted(((r["id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == by_hand(rows, 3, 90)
+    assert sorted((r["id"], r["n_links"]) for r in got) == links_by_hand(rows, 3, 90)
+    assert {r["component_id"] for r in got if r["id"] >= 100} == {100}
+    unlike = {r["class"] for r in got if r["id"] < 100}
+    assert compared and not any({p["a"], p["b"]} & unlike for pairs in compared for p in pairs)
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(50)] + [(100, i) for i in range(101, 160)] + [(7, 7), (200, 201), (201, 200)]
     got = dict(map(tuple, components(spark.createDataFrame(links, "a bigint, b bigint")).collect()))

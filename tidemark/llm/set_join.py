@@ -9,7 +9,8 @@ kept of these only.
 Two relations between sets save most comparisons.  Lists are cut into blocks by
 position: the smaller set of a pair must have the shingle in its first block,
 so pairs of later blocks are never formed, and sizes, positions and parity
-bitmaps bound the overlap of the others.  And a set takes over the answers of a
+bitmaps bound the overlap of the others; what short bitmaps let through meets
+bitmaps that are as long as the sets before any text is moved.  And a set takes over the answers of a
 set it is highly similar to: each list's members are first compared with two of
 its sets only, what links to these is one component, and afterwards only pairs
 of different components are left to compare.
@@ -37,6 +38,8 @@ CELLS, CHUNK = 1 << 20, 1 << 14
 #: Bits of the table that tells which texts have partners; its size is fixed.
 WANTED_BITS = 1 << 23
 BITMAP, WORDS_OF_BITMAP = 256, 4
+#: Bits at most of the long bitmap of a set that fills the short one.
+LONGEST_BITMAP = 1 << 17
 NO_ID = -(1 << 63)
 #: A component of more sets, or of more shingles in all, is cut into blocks.
 BLOCK_SETS, BLOCK_SHINGLES = 128, 1 << 21
@@ -98,12 +101,41 @@ def _prefix(n: np.ndarray, percent: int) -> np.ndarray:
     return np.where(n > 0, n - (percent * n + 99) // 100 + 1, 0)
 
 
+def parity_bitmaps(text: np.ndarray, h: np.ndarray, n: np.ndarray) -> pa.Array:
+    """A bit for the parity of each residue of a set's hashes, in bytes; null for sets that the short bitmap holds.
+
+    The number of residues is the power of two from the set's size on, so that
+    unlike sets differ in far more bits than similar ones may.
+    """
+    long = n > BITMAP
+    width = np.where(long, np.minimum(1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64), LONGEST_BITMAP), 0)
+    ends = np.cumsum(width)
+    on = long[text]
+    t = text[on]
+    place = (ends - width)[t] + (h[on] & (width[t] - 1).astype(np.uint64)).astype(np.int64)
+    odd = (np.bincount(place, minlength=int(width.sum())) & 1).astype(np.uint8)
+    offsets = np.concatenate([[0], ends // 8]).astype(np.int32)
+    return pa.Array.from_buffers(
+        pa.binary(),
+        len(n),
+        [pa.py_buffer(np.packbits(long, bitorder="little")), pa.py_buffer(offsets), pa.py_buffer(np.packbits(odd))],
+    )
+
+
+def differing_bits(one: bytes, other: bytes) -> int:
+    """Bits that differ between two parity bitmaps, the longer of which is folded to the length of the other."""
+    x, y = sorted((np.frombuffer(one, dtype=np.uint8), np.frombuffer(other, dtype=np.uint8)), key=len)
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def _sets(documents: DataFrame, k: int) -> DataFrame:
-    """A row per document with its class, size and parity bitmap; and each task's counts of cells."""
+    """A row per document with its class, size and parity bitmaps; and each task's counts of cells."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(CELLS, dtype=np.int64)
-        names = ["id", "hash", "class", "n", *MAPS, "chunk", "counts"]
+        names = ["id", "hash", "class", "n", *MAPS, "parity", "chunk", "counts"]
         for batch in batches:
             for low, words in word_runs(batch.column(2), BLANK_SEPARATED):
                 text, h, n, classes = _described(words, k)
@@ -120,17 +152,18 @@ def _sets(documents: DataFrame, k: int) -> DataFrame:
                         pa.array(classes.view(np.int64)),
                         pa.array(n),
                         *[pa.array(np.ascontiguousarray(maps[:, i])) for i in range(WORDS_OF_BITMAP)],
+                        parity_bitmaps(text, h, n),
                         *none,
                     ],
                     names,
                 )
         chunks = CELLS // CHUNK
         packed = [zlib.compress(part.tobytes(), 1) for part in counts.reshape(chunks, CHUNK)]
-        none = [pa.nulls(chunks, pa.int64())] * (4 + len(MAPS))
+        none = [*[pa.nulls(chunks, pa.int64())] * (4 + len(MAPS)), pa.nulls(chunks, pa.binary())]
         yield pa.RecordBatch.from_arrays([*none, pa.array(range(chunks), pa.int64()), pa.array(packed)], names)
 
-    columns = ", ".join(f"{c} bigint" for c in ("id", "hash", "class", "n", *MAPS, "chunk"))
-    return documents.mapInArrow(releasing(scan), f"{columns}, counts binary")
+    columns = ", ".join(f"{c} bigint" for c in ("id", "hash", "class", "n", *MAPS))
+    return documents.mapInArrow(releasing(scan), f"{columns}, parity binary, chunk bigint, counts binary")
 
 
 def _counted(chunks: DataFrame) -> np.ndarray:
@@ -346,6 +379,30 @@ def _may_link(percent: int) -> Column:
     return sizes & (differing + 2 * _required(percent) <= F.col("n_a") + F.col("n_b"))
 
 
+def _alike(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The ``pairs`` (a, b) whose long parity bitmaps allow the similarity.
+
+    Short bitmaps fill up with long sets and tell nothing of these, whose texts
+    would be most of what is moved.
+    """
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column(2).to_numpy(zero_copy_only=False) + batch.column(3).to_numpy(zero_copy_only=False)
+            most = n - 2 * ((percent * n + 100 + percent - 1) // (100 + percent))
+            good = [
+                i
+                for i, (x, y) in enumerate(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist()))
+                if x is None or y is None or differing_bits(x, y) <= most[i]
+            ]
+            yield batch.select([0, 1]).take(pa.array(good, pa.int64()))
+
+    bitmaps = classes.select("class", "n", "parity")
+    one, other = (_side(bitmaps.withColumnRenamed("class", s), s, s) for s in ("a", "b"))
+    joined = pairs.join(one, "a").join(other, "b").select("a", "b", "n_a", "n_b", "parity_a", "parity_b")
+    return joined.mapInArrow(scan, "a bigint, b bigint")
+
+
 def _side(df: DataFrame, side: str, *columns: str) -> DataFrame:
     return df.select(*columns, *[F.col(c).alias(f"{c}_{side}") for c in df.columns if c not in columns])
 
@@ -386,6 +443,7 @@ def join_components(
             F.min(F.nullif("id", F.lit(NO_ID))).alias("least_id"),
             F.count(F.lit(1)).alias("copies"),
             *[F.max(m).alias(m) for m in MAPS],
+            F.max("parity").alias("parity"),
         ),
         "classes",
     )
@@ -394,7 +452,7 @@ def join_components(
     shared = postings.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high")
     lists = written(postings.join(shared, "token"), "lists")
 
-    about = classes.drop("least_id", "copies")
+    about = classes.drop("least_id", "copies", "parity")
     near = (
         lists.select("class", F.explode(F.array("low", "high")).alias("other"))
         .where("class <> other")
@@ -403,8 +461,9 @@ def join_components(
     )
     one, other = (_side(about.withColumnRenamed("class", s), s, s) for s in ("a", "b"))
     near = written(near.join(one, "a").join(other, "b").where(_may_link(percent)).select("a", "b"), "pairs")
-    texts = _texts(slim, near, k)
-    found = written(_linked(near, texts, k, percent), "links")
+    alike = written(_alike(near, classes, percent), "alike")
+    texts = _texts(slim, alike, k)
+    found = written(_linked(alike, texts, k, percent), "links")
     joined = components(found)
 
     # lists with sets of different components: the smaller set of a pair has the token in its first block
@@ -428,7 +487,7 @@ def join_components(
         .distinct()
         .join(near, ["a", "b"], "left_anti")
     )
-    rest = written(rest, "pairs")
+    rest = written(_alike(rest, classes, percent), "alike")
     other_texts = _texts(slim, rest, k)
     more = _linked(rest, other_texts, k, percent)
     joined = components(written(found.union(more), "links"))
