@@ -416,3 +416,18 @@ def test_next_fit_takes_what_the_patience_asks():
     assert train.more_rounds(150, 150, 50) == 300
     assert train.more_rounds(150, 148, 50) == 198
     assert train.more_rounds(150, 101, 50) == 187
+
+
+def test_linear_fit_reads_a_written_split_in_place(spark, monkeypatch):
+    """No copy of a split that the query has written; the fit is that on a copy."""
+    from tidemark.plans import catalog
+
+    copies, cut = [], train.cut_lineage
+    monkeypatch.setattr(train, "cut_lineage", lambda df: copies.append(df.columns) or cut(df))
+    folder = "/root/testdata/../testdata/sf0.001"  # no other test has fitted this one
+    fitted = catalog.fitted(spark, folder, "V3", "linear")
+    assert not copies
+    split = {"V3": catalog.kept_split(spark, folder, "V3")}
+    copied = train.train_by_version(split, STAR, ["linear"])["V3", "linear"]
+    assert len(copies) == 1
+    assert np.allclose(fitted.classifier.coefficients.toArray(), copied.classifier.coefficients.toArray(), atol=1e-6)
