@@ -431,3 +431,56 @@ def test_linear_fit_reads_a_written_split_in_place(spark, monkeypatch):
     copied = train.train_by_version(split, STAR, ["linear"])["V3", "linear"]
     assert len(copies) == 1
     assert np.allclose(fitted.classifier.coefficients.toArray(), copied.classifier.coefficients.toArray(), atol=1e-6)
+
+
+@pytest.mark.parametrize("many", [False, True])
+def test_boosted_trees_are_those_of_mllib(spark, tmp_path, monkeypatch, many):
+    """Same draws, thresholds and splits from several partitions; with flags that share a byte only sums differ in the last digits."""
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    from tidemark.operators import boosting
+
+    if many:
+        monkeypatch.setattr(boosting, "MANY_ROWS", 0)
+        monkeypatch.setattr(boosting, "BLOCK_CELLS", 1000)
+        monkeypatch.setattr(boosting, "TASK_CELLS", 8000)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(11000, 9))
+    x[:, 2:7] = x[:, 2:7] > 0.3
+    x[:, 8] = 0.0
+    y = rng.uniform(size=len(x)) < 1 / (1 + np.exp(1 - x[:, 0] * x[:, 1] - x[:, 3]))
+    frame = pd.DataFrame(x, columns=list("abcdefghi")).assign(_y=y.astype(float), _w=np.where(y, 2.3, 1.0))
+    table = VectorAssembler(inputCols=list("abcdefghi"), outputCol="features").transform(spark.createDataFrame(frame).repartition(3))
+    table.select("_y", "_w", "features").write.parquet(f"file://{tmp_path}/rows")
+    rows = spark.read.parquet(f"file://{tmp_path}/rows")
+    settings = dict(labelCol="_y", weightCol="_w", maxDepth=3, stepSize=0.05, subsamplingRate=0.8, featureSubsetStrategy="0.8", maxBins=64, seed=42)
+    ours = boosting.BoostedTrees(**settings)
+    ours.setMaxIter(2).fit(rows)
+    first = list(ours._grown.trees)
+    grown = ours.setMaxIter(11).fit(rows)
+    assert all(a is b for a, b in zip(first, ours._grown.trees)) and len(ours._grown.trees) == 11
+    ours.release()
+
+    def saved(model, name):
+        model.write().save(f"file://{tmp_path}/{name}")
+        return [(r.treeID, r.nodeData) for r in spark.read.parquet(f"file://{tmp_path}/{name}/data").orderBy("treeID", "nodeData.id").collect()]
+
+    theirs = GBTClassifier(**settings, maxIter=11).fit(rows)
+    got, expected = saved(grown, "ours"), saved(theirs, "theirs")
+    assert [(t, n.id, n.split, n.rawCount, n.leftChild, n.rightChild) for t, n in got] == [(t, n.id, n.split, n.rawCount, n.leftChild, n.rightChild) for t, n in expected]
+    for column in ("prediction", "impurity", "gain", "impurityStats"):
+        assert np.allclose([n[column] for _, n in got], [n[column] for _, n in expected], rtol=1e-9, atol=1e-9)
+    assert grown.treeWeights == theirs.treeWeights and grown.numFeatures == theirs.numFeatures
+
+
+def test_no_round_is_fitted_twice(table, monkeypatch):
+    """Looks at the validation rows go on from the trees there are."""
+    from tidemark.operators import boosting
+
+    grown, one = [], boosting.Growing.grown_tree
+    monkeypatch.setattr(boosting.Growing, "grown_tree", lambda self: grown.append(len(self.trees)) or one(self))
+    monkeypatch.setattr(train, "FIRST_TREES", 4)
+    monkeypatch.setattr(train, "precision_by_size", lambda valid, nodes, weights, **names: [min(i, 13) / 100 for i in range(len(weights))])
+    model = train.train_model(table, FeatureSet("T", "tree", ["a", "flag"]), "y", params={"maxIter": 24, "maxDepth": 2, "patience": 3})
+    assert grown == list(range(24)) and model.details["best_iteration"] == 14
